@@ -407,10 +407,10 @@ _scalar("str_at", "documents", "doc_id", lambda: F.coalesce(fs.at(_c("text"), _c
 _scalar("str_slice", "documents", "doc_id", lambda: F.coalesce(fs.slice_(_c("text"), F.lit(3), _c("n_chars") - 700)["ok"], F.lit("error")), "CASE WHEN n_chars >= 703 THEN substring(text, 4, n_chars - 703) ELSE 'error' END")
 _scalar("str_chars", "part", "p_partkey", lambda: F.array_join(fs.chars(_c("p_name")), "|"), "array_to_string(string_split(p_name, ''), '|')")
 _scalar("str_bytes", "documents", "doc_id", lambda: _long(F.aggregate(fs.bytes_(F.substring("text", 1, 50)), F.lit(0), lambda a, b: a + b)), "CAST(list_sum(list_transform(range(1, octet_length(encode(substring(text, 1, 50))) + 1), lambda i: CAST('0x' || substring(hex(encode(substring(text, 1, 50))), CAST(2 * i - 1 AS BIGINT), 2) AS BIGINT))) AS BIGINT)")
-_scalar("dt_add", "events", "event_id", lambda: fs.later(fs.millis(_c("ts")), F.lit(fs.parse_duration("1w2d3h4m5s6ms"))), "epoch_ms(ts) + 788645006")
-_scalar("dt_sub", "events", "event_id", lambda: fs.earlier(fs.millis(_c("ts")), F.lit(fs.parse_duration("36h"))), "epoch_ms(ts) - 129600000")
-_scalar("dt_between", "events", "event_id", lambda: fs.between(fs.millis(_c("ts")), F.lit(fs.parse_datetime("D2020-01-01T00:00:00.000Z"))), "epoch_ms(ts) - 1577836800000")
-_scalar("dt_before", "events", "event_id", lambda: fs.millis(_c("ts")) < F.lit(fs.parse_datetime("D2024-01-15T12:00:00Z")), "epoch_ms(ts) < epoch_ms(TIMESTAMP '2024-01-15 12:00:00')")
+_scalar("dt_add", "events", "event_id", lambda: fs.later(fs.millis(_c("ts")), F.lit(fs.parse_duration("1w2d3h4m5s6ms"))), "epoch_us(ts) // 1000 + 788645006")
+_scalar("dt_sub", "events", "event_id", lambda: fs.earlier(fs.millis(_c("ts")), F.lit(fs.parse_duration("36h"))), "epoch_us(ts) // 1000 - 129600000")
+_scalar("dt_between", "events", "event_id", lambda: fs.between(fs.millis(_c("ts")), F.lit(fs.parse_datetime("D2020-01-01T00:00:00.000Z"))), "epoch_us(ts) // 1000 - 1577836800000")
+_scalar("dt_before", "events", "event_id", lambda: fs.millis(_c("ts")) < F.lit(fs.parse_datetime("D2024-01-15T12:00:00Z")), "epoch_us(ts) // 1000 < epoch_ms(TIMESTAMP '2024-01-15 12:00:00')")
 _scalar("dur_times", "events", "event_id", lambda: fs.times(F.lit(1500), _c("user_id")), "1500 * user_id")
 _scalar("enum_less", "orders", "o_orderkey", lambda: _c("o_orderstatus") < F.lit(dict(Status.members)["O"]), "o_orderstatus < 'O'")
 
