@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import SpecError, Undecidable
@@ -114,7 +114,10 @@ def duplicates(table: DataFrame, primary: tuple[str, ...]) -> DataFrame:
     """
     keyed = table.filter(" and ".join(f"`{p}` is not null" for p in primary))
     first = keyed.groupBy(*primary).agg(F.min(F.struct("_row", "_line")).alias("_f"), F.count("*").alias("_k")).filter("_k > 1")
-    return keyed.join(first.drop("_k"), list(primary)).filter("_row > _f._row").withColumn("_first", F.col("_f._line")).drop("_f")
+    joined = keyed.join(first.drop("_k"), list(primary)).withColumn("_first", F.col("_f._line"))
+    # Rows in the first one's own place are there only if the row key repeats; all but one of them are later.
+    tied = joined.filter("_row = _f._row").withColumn("_n", F.row_number().over(Window.partitionBy(*primary).orderBy("_row")))
+    return joined.filter("_row > _f._row").union(tied.filter("_n > 1").drop("_n")).drop("_f")
 
 
 def diagnostics(table: DataFrame, master: Master, source: str = "", wrong: list[SpecError] = ()) -> DataFrame:
