@@ -127,9 +127,9 @@ def chars(s: Column) -> Column:
 
 def bytes_(s: Column) -> Column:
     """The UTF-8 bytes, 0 to 255."""
-    data = F.hex(F.encode(s, "UTF-8"))
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.octet_length(s), F.lit(1))), lambda i: F.conv(F.substring(data, i * 2 - 1, F.lit(2)), 16, 10).cast("int"))
-    return F.when(s == "", F.array().cast("array<int>")).otherwise(pairs)
+    # Pairs of digits are cut in one pass: substring would look for each place from the start.
+    pairs = F.regexp_extract_all(F.hex(F.encode(s, "UTF-8")), F.lit(".."), F.lit(0))
+    return F.transform(pairs, lambda x: F.conv(x, 16, 10).cast("int"))
 
 
 # -- time: instants and durations are milliseconds --------------------------------

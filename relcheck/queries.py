@@ -28,9 +28,9 @@ LINE_KEY = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 Lines = Master("lines", {"l_orderkey": LONG, "l_linenumber": INT, "l_partkey": LONG, "l_suppkey": LONG, "l_quantity": INT, "l_returnflag": STRING}, LINE_KEY)
 Orders = Master(
     "orders_",
-    {"o_orderkey": LONG, "o_custkey": LONG, "o_orderstatus": Status},
+    {"o_orderkey": LONG, "o_custkey": LONG, "o_orderstatus": Status, "o_orderpriority": Priority},
     ("o_orderkey",),
-    scopes={"with_status": lambda r, s: r.where(lambda c: c.o_orderstatus == s), "first_orders": lambda r: r.where(lambda c: c.o_orderkey <= 100)},
+    scopes={"with_status": lambda r, s: r.where(lambda c: c.o_orderstatus == s), "urgent_orders": lambda r: r.where(lambda c: c.o_orderpriority == member(Priority, "urgent"))},
 )
 Parts = Master("parts", {"p_partkey": LONG, "p_name": STRING, "p_size": INT, "p_brand": STRING}, ("p_partkey",))
 Events = Master("events_", {"event_id": LONG, "user_id": LONG, "ts": DATETIME}, ("event_id",))
@@ -188,9 +188,9 @@ def limit_negative(spark, sf_dir):
     return parts(spark, sf_dir).limit(-5).rows().select("p_partkey")
 
 
-@_query("to_list_order", "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey <= 200")
+@_query("to_list_order", "SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority FROM orders WHERE o_orderstatus <> 'P'")
 def to_list_order(spark, sf_dir):
-    return orders(spark, sf_dir).where(lambda c: c.o_orderkey <= 200).order(lambda c: c.o_custkey.asc()).rows()
+    return orders(spark, sf_dir).where(lambda c: c.o_orderstatus != member(Status, "P")).order(lambda c: c.o_custkey.asc()).rows()
 
 
 # -- aggregates -----------------------------------------------------------------------
@@ -271,18 +271,18 @@ def scope_parameter(spark, sf_dir):
     return _out(Orders.scope("with_status", orders(spark, sf_dir), member(Status, "O")), "o_orderkey")
 
 
-@_query("scope_view", "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey <= 100")
+@_query("scope_view", "SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority FROM orders WHERE o_orderpriority = '1-URGENT'")
 def scope_view(spark, sf_dir):
     Orders.views(spark, _read(spark, sf_dir, "orders"))
-    return spark.table("orders__first_orders")
+    return spark.table("orders__urgent_orders")
 
 
-@_query("relation_parameter", "SELECT count(*) AS n FROM orders WHERE o_orderkey <= 100 AND o_orderstatus = 'F'")
+@_query("relation_parameter", "SELECT count(*) AS n FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'")
 def relation_parameter(spark, sf_dir):
     def settled(r: Relation) -> Relation:
         return Orders.scope("with_status", r, member(Status, "F"))
 
-    return settled(Orders.scope("first_orders", orders(spark, sf_dir))).count_df()
+    return settled(Orders.scope("urgent_orders", orders(spark, sf_dir))).count_df()
 
 
 # -- validation --------------------------------------------------------------------------
@@ -406,7 +406,7 @@ _scalar("str_len", "documents", "doc_id", lambda: fs.length(_c("text")), "CAST(l
 _scalar("str_at", "documents", "doc_id", lambda: F.coalesce(fs.at(_c("text"), _c("n_chars") - 700)["ok"], fs.at(_c("text"), _c("n_chars") - 700)["err"]), "CASE WHEN n_chars >= 700 THEN substring(text, n_chars - 699, 1) ELSE 'index out of range' END")
 _scalar("str_slice", "documents", "doc_id", lambda: F.coalesce(fs.slice_(_c("text"), F.lit(3), _c("n_chars") - 700)["ok"], F.lit("error")), "CASE WHEN n_chars >= 703 THEN substring(text, 4, n_chars - 703) ELSE 'error' END")
 _scalar("str_chars", "part", "p_partkey", lambda: F.array_join(fs.chars(_c("p_name")), "|"), "array_to_string(string_split(p_name, ''), '|')")
-_scalar("str_bytes", "documents", "doc_id", lambda: _long(F.aggregate(fs.bytes_(F.substring("text", 1, 50)), F.lit(0), lambda a, b: a + b)), "CAST(list_sum(list_transform(range(1, octet_length(encode(substring(text, 1, 50))) + 1), lambda i: CAST('0x' || substring(hex(encode(substring(text, 1, 50))), CAST(2 * i - 1 AS BIGINT), 2) AS BIGINT))) AS BIGINT)")
+_scalar("str_bytes", "documents", "doc_id", lambda: F.aggregate(fs.bytes_(_c("text")), F.lit(0).cast("bigint"), lambda a, b: a + b), "CAST(coalesce(list_sum(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: CAST('0x' || x AS BIGINT))), 0) AS BIGINT)")
 _scalar("dt_add", "events", "event_id", lambda: fs.later(fs.millis(_c("ts")), F.lit(fs.parse_duration("1w2d3h4m5s6ms"))), "epoch_us(ts) // 1000 + 788645006")
 _scalar("dt_sub", "events", "event_id", lambda: fs.earlier(fs.millis(_c("ts")), F.lit(fs.parse_duration("36h"))), "epoch_us(ts) // 1000 - 129600000")
 _scalar("dt_between", "events", "event_id", lambda: fs.between(fs.millis(_c("ts")), F.lit(fs.parse_datetime("D2020-01-01T00:00:00.000Z"))), "epoch_us(ts) // 1000 - 1577836800000")
