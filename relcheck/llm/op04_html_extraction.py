@@ -10,6 +10,7 @@ on the small labelled table below tells article text from the rest.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 from html import unescape
@@ -24,7 +25,13 @@ from .shared import column, pick, pieces
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li link main menu meta nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 NESTED = frozenset("a article aside blockquote body dd details dialog div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 head header html label li main menu nav ol p search section span table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = "applet audio button canvas datalist iframe map math noframes noscript object script select style svg template textarea title video"
+#: Text up to the end tag of its own name, or else to the end of the page.
+RAW = frozenset("iframe noframes noscript script style textarea title".split())
+#: What these hold is no text of the page, if they are closed.
+SKIPPED = frozenset("annotation annotation-xml applet audio button canvas datalist map object select svg template video".split())
+FOREIGN = frozenset("foreignobject math svg".split())
+#: Start tags that end an svg or math element they stand in, as in the HTML standard.
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()) | frozenset("article aside figure footer header main nav section".split())
 OTHER_TAGS = frozenset("aside dialog footer form head menu nav search".split())
 MAIN_TAGS = frozenset("article main".split())
 OTHER_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
@@ -116,10 +123,11 @@ LABELLED = """
 """
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<skip>" + SKIPPED.replace(" ", "|") + r")\b(?>[^>\"']+|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=skip)\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?>[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)>|<[!?/][^>]*>",
     re.S | re.I,
 )
+_RAW_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in RAW}
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)|(?=[\s/]|$))", re.I)
 _WORDS = re.compile(r"[a-z]+(?:-[a-z]+)*")
 OTHER, MAIN = 1, 2
@@ -144,6 +152,68 @@ def _kind(tag: str, attrs: str, inside_main: bool) -> int:
     return kind
 
 
+def _tokens(page: str) -> list[tuple[int, int, str, bool, str]]:
+    """(begin, end, tag, whether an end tag, attributes) of each tag; comments and raw text with its tags have no name."""
+    out, foreign, at, skipped = [], [], 0, False
+    while match := _TOKEN.search(page, at):
+        begin, at = match.span()
+        tag = (match["tag"] or match["tag2"] or "").lower()
+        closing, attrs = bool(match["end"] or match["end2"]), (match["attrs"] if match["tag"] else match["attrs2"]) or ""
+        if tag in SKIPPED or (foreign and tag in RAW):
+            skipped = True
+        elif tag in RAW and not closing:
+            end = _RAW_ENDS[tag].search(page, at)
+            tag, at = "", end.end() if end else len(page)
+        if tag in FOREIGN:
+            if closing and tag in foreign:
+                del foreign[len(foreign) - 1 - foreign[::-1].index(tag) :]
+            elif not closing and not attrs.endswith("/") and (foreign or tag != "foreignobject"):
+                foreign.append(tag)
+        elif tag in BREAKOUT:
+            while foreign and foreign[-1] != "foreignobject":
+                foreign.pop()
+        out.append((begin, at, tag, closing, attrs))
+    return _unskipped(out) if skipped else out
+
+
+def _unskipped(tokens: list[tuple[int, int, str, bool, str]]) -> list[tuple[int, int, str, bool, str]]:
+    """The tokens with each closed element of no text as one; a skipped element that isn't closed in its parent is empty."""
+    stack: list[tuple[str, int]] = []
+    n_open: Counter = Counter()
+    ends: dict[int, tuple[int, int]] = {}  # a start: the first token after the element, and where its text begins
+
+    def pop() -> tuple[str, int]:
+        n_open[stack[-1][0]] -= 1
+        return stack.pop()
+
+    for i, (begin, end, tag, closing, attrs) in enumerate(tokens):
+        inside = n_open["svg"] + n_open["math"] > 0
+        if not closing and inside and tag in BREAKOUT and next(t for t, _ in reversed(stack) if t in FOREIGN) != "foreignobject":
+            while n_open["svg"] + n_open["math"] and stack[-1][0] != "foreignobject":
+                t, k = pop()
+                if t == "svg":
+                    ends[k] = (i, begin)
+        if tag in VOID or not (tag in NESTED or tag in SKIPPED or tag in FOREIGN or (inside and tag in RAW)):
+            continue
+        if not closing:
+            if not (attrs.endswith("/") and (inside or tag in FOREIGN)):
+                stack.append((tag, i))
+                n_open[tag] += 1
+        elif n_open[tag]:
+            while True:
+                t, k = pop()
+                if t == tag:
+                    break
+            if tag in SKIPPED or tag in RAW:
+                ends[k] = (i + 1, end)
+    out, i = [], 0
+    while i < len(tokens):
+        after, end = ends.get(i, (i + 1, tokens[i][1]))
+        out.append((tokens[i][0], end, *tokens[i][2:]))
+        i = after
+    return out
+
+
 def blocks(page: str) -> list[tuple[str, int, float, bool, bool, bool]]:
     """(text, words, link density, in another part, in a main part, heading) of each block that has text."""
     out: list[tuple[str, int, float, bool, bool, bool]] = []
@@ -169,22 +239,17 @@ def blocks(page: str) -> list[tuple[str, int, float, bool, bool, bool]]:
         headings -= tag[0] == "h" and tag[1:].isdigit()
 
     at = 0
-    for match in _TOKEN.finditer(page):
-        begin, end = match.span()
+    for begin, end, tag, closing, attrs in _tokens(page):
         if begin > at:
             parts.append(page[at:begin])
             if links:
                 linked += begin - at
         at = end
-        tag = match["tag"] or match["tag2"]
-        if tag is None:
-            continue
-        tag = tag.lower()
         if tag in BLOCKS:
             close()
         if tag in VOID or tag not in NESTED:
             continue
-        if match["end"] or match["end2"]:
+        if closing:
             if any(t == tag for t, _ in reversed(stack)):
                 while True:
                     t, kind = stack.pop()
@@ -192,7 +257,6 @@ def blocks(page: str) -> list[tuple[str, int, float, bool, bool, bool]]:
                     if t == tag:
                         break
             continue
-        attrs = match["attrs"] if match["tag"] else match["attrs2"]
         if tag in ("p", "li", "a", "body") and stack and (stack[-1][0] == tag or tag == "body"):
             while stack and (stack[-1][0] == tag or tag == "body"):
                 leave(*stack.pop())

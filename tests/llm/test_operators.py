@@ -204,6 +204,24 @@ def test_html(spark):
     assert got[1:3] == [(2, "", 0), (3, "", 0)] and got[4] == (4, long, len(long)) and got[5] == (5, "", 0)
 
 
+def test_html_skips_no_more_than_the_element():
+    rest = {
+        '<p>a</p><video-js id="x"></video-js><p>rest</p>': "a rest",
+        "<map-view><p>a</p></map-view><button-group><p>rest</p></button-group>": "a rest",
+        '<p>a</p><svg class="i" /><p>rest</p>': "a rest",
+        "<p>a</p><svg><title/><path><p>rest</p>": "a rest",
+        "<svg><style>p{}</style><text>no</text></svg><p>a <svg><a><text>no</text></a></svg>rest</p>": "a rest",
+        "<svg><foreignObject><p>no</p></foreignObject></svg><p>rest</p>": "rest",
+        "<p>x <math><mi>a</mi><mo>+</mo><mi>b</mi></math> y</p>": "x a+b y",
+        "<p>a<title>no</title ><p>b<script>'<p>no'</scripty>no</script>c<style>no": "a bc",
+        "<p>a<select><option>no</select><button><p>no</button> b</p>": "a b",
+    }
+    for tag in ("applet", "audio", "button", "canvas", "datalist", "map", "object", "select", "template", "video"):
+        rest |= {f"<p>a</p><{tag}><p>rest</p>": "a rest", f"<p>a</p><div><{tag}></div><p>rest</p><{tag}>no</{tag}><p>end</p>": "a rest end", f"<p>a</p><{tag}><p>rest</p><{tag}>no</{tag}>": "a rest"}
+    for page, text in rest.items():
+        assert " ".join(b[0] for b in op04.blocks(page)) == text, page
+
+
 def test_plan_is_best_fit_decreasing():
     rng = random.Random(9)
     for _ in range(100):
