@@ -37,10 +37,14 @@ MAIN_TAGS = frozenset("article main".split())
 OTHER_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 MAIN_ROLES = frozenset("article main".split())
 OTHER_WORDS = frozenset(
-    "ad ads adsense advert advertisement advertising adverts aside banner breadcrumb breadcrumbs byline-share comment comments commentlist cookie cookies consent copyright dialog disqus footer form gdpr hidden login masthead menu modal nav navbar navigation newsletter notice notification outbrain overlay pager pagination popup promo promoted promotion recommended recommendations related replies reply respond search share sharing sidebar signin signup sitemap social sponsor sponsored subscribe subscription taboola tags toolbar topbar trending warning widget widgets".split()
+    "ad ads adsense advert advertisement advertising adverts aside banner breadcrumb breadcrumbs byline-share comment comments commentlist cookie cookies consent copyright dialog disqus footer form gdpr hidden login masthead menu modal nav navbar navigation newsletter notice notification outbrain overlay pager pagination popup promo promoted promotion recommended recommendations related replies reply respond search share sharing sidebar signin signup sitemap social sponsor sponsored subscribe subscription taboola tags toolbar topbar trending visually-hidden widget widgets".split()
 )
 MAIN_WORDS = frozenset("article articlebody body-text content entry main maincontent post postbody story storybody".split())
 
+#: A class or id is the name of another part if it is of OTHER_WORDS, with one of the first before or some of the last after them.
+BEFORE = frozenset("article bottom entry global google main page post primary secondary site top".split())
+AFTER = frozenset("area articles bar block body bottom box buttons container icons inner item items link links list main panel posts section slot stories top unit wrap wrapper".split())
+
 #: Words, link density, words and link density before, words and link density after, in
 #: another part, in a main part, heading; then 1 for article text. Labelled by hand.
 LABELLED = """
@@ -129,27 +133,41 @@ _TOKEN = re.compile(
 )
 _RAW_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in RAW}
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)|(?=[\s/]|$))", re.I)
-_WORDS = re.compile(r"[a-z]+(?:-[a-z]+)*")
-OTHER, MAIN = 1, 2
+_ROLE = re.compile(r"(?:^|\s)role\s*=\s*[\"']?([a-z]+)")
+#: What an element is: another part, one by a mere class word, a main part, the article or main element itself.
+OTHER, CLASSED, MAIN, PART = 1, 2, 3, 4
+
+
+def _named(token: str) -> int:
+    """CLASSED, MAIN or 0 for a class or id; one that merely has a word of another part says nothing."""
+    words = [token] if token in OTHER_WORDS | MAIN_WORDS else [w for w in re.split(r"[^a-z]+", token) if w]
+    if not OTHER_WORDS.intersection(words):
+        return MAIN if MAIN_WORDS.intersection(words) else 0
+    if "hidden" in words and len(words) > 1:  # what is hidden may be another element
+        return 0
+    rest = words[words[0] in BEFORE :]
+    n = next((i for i, w in enumerate(rest) if w not in OTHER_WORDS), len(rest))
+    return CLASSED if n and AFTER.issuperset(rest[n:]) else 0
 
 
 def _kind(tag: str, attrs: str, inside_main: bool) -> int:
-    """OTHER, MAIN or 0 for what an element's name and attributes say about what it holds."""
-    kind = OTHER if tag in OTHER_TAGS or (tag == "header" and not inside_main) else MAIN if tag in MAIN_TAGS else 0
+    """OTHER, CLASSED, MAIN, PART or 0 for what an element's name and attributes say about what it holds."""
+    kind = OTHER if tag in OTHER_TAGS or (tag == "header" and not inside_main) else PART if tag in MAIN_TAGS else 0
+    named = set()
     if attrs and not attrs.isspace():
         for name, value in _ATTRIBUTE.findall(attrs):
             name, value = name.lower(), value.strip("\"'").lower()
             if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
                 return OTHER
             if name == "role":
-                kind = OTHER if value in OTHER_ROLES else MAIN if value in MAIN_ROLES else kind
+                kind = OTHER if value in OTHER_ROLES else PART if value in MAIN_ROLES else kind
             elif name in ("class", "id") and tag not in ("body", "html"):
-                words = set(re.split(r"[^a-z]+", value)) | set(_WORDS.findall(value))
-                if words & OTHER_WORDS and not (kind == MAIN and tag in MAIN_TAGS):
-                    return OTHER
-                if words & MAIN_WORDS and not kind:
-                    kind = MAIN
-    return kind
+                # Ids of headings, and of sections in an article, are made of their titles.
+                if name == "class" or not (re.fullmatch("h[1-6]", tag) or (tag == "section" and inside_main)):
+                    named.update(map(_named, value.split()))
+    if CLASSED in named and kind != OTHER:
+        return MAIN if tag in MAIN_TAGS else CLASSED
+    return kind or (MAIN if MAIN in named else 0)
 
 
 def _tokens(page: str) -> list[tuple[int, int, str, bool, str]]:
@@ -215,11 +233,19 @@ def _unskipped(tokens: list[tuple[int, int, str, bool, str]]) -> list[tuple[int,
 
 
 def blocks(page: str) -> list[tuple[str, int, float, bool, bool, bool]]:
-    """(text, words, link density, in another part, in a main part, heading) of each block that has text."""
+    """(text, words, link density, in another part, in a main part, heading) of each block that has text.
+
+    A class word makes another part of an element, but for a main element in it and
+    for an article element in it that has more text than the page has outside.
+    """
     out: list[tuple[str, int, float, bool, bool, bool]] = []
-    stack: list[tuple[str, int]] = []
+    held: list[int] = []  # by block: the article that it is in, 0 for the page itself, -1 in another part
+    around = [0]  # by article that stands in a classed part: the article around that part
+    stack: list[tuple[str, int, tuple[int, int]]] = []
     parts: list[str] = []
-    linked = other = main = links = headings = 0
+    linked = other = classed = main = links = headings = 0
+    # The article that counts, and the number of open classed parts around it.
+    inner = (0, 0)
 
     def close() -> None:
         nonlocal linked
@@ -228,15 +254,18 @@ def blocks(page: str) -> list[tuple[str, int, float, bool, bool, bool]]:
             if text:
                 n = len(text)
                 out.append((text, text.count(" ") + 1, min(1.0, linked / n), other > 0, main > 0, headings > 0))
+                held.append(-1 if other or classed > inner[1] else inner[0])
             parts.clear()
         linked = 0
 
-    def leave(tag: str, kind: int) -> None:
-        nonlocal other, main, links, headings
+    def leave(tag: str, kind: int, before: tuple[int, int]) -> None:
+        nonlocal other, classed, main, links, headings, inner
         other -= kind == OTHER
-        main -= kind == MAIN
+        classed -= kind == CLASSED
+        main -= kind in (MAIN, PART)
         links -= tag == "a"
         headings -= tag[0] == "h" and tag[1:].isdigit()
+        inner = before
 
     at = 0
     for begin, end, tag, closing, attrs in _tokens(page):
@@ -250,10 +279,10 @@ def blocks(page: str) -> list[tuple[str, int, float, bool, bool, bool]]:
         if tag in VOID or tag not in NESTED:
             continue
         if closing:
-            if any(t == tag for t, _ in reversed(stack)):
+            if any(t == tag for t, *_ in reversed(stack)):
                 while True:
-                    t, kind = stack.pop()
-                    leave(t, kind)
+                    t, *rest = stack.pop()
+                    leave(t, *rest)
                     if t == tag:
                         break
             continue
@@ -261,14 +290,26 @@ def blocks(page: str) -> list[tuple[str, int, float, bool, bool, bool]]:
             while stack and (stack[-1][0] == tag or tag == "body"):
                 leave(*stack.pop())
         kind = _kind(tag, attrs, main > 0)
-        stack.append((tag, kind))
+        stack.append((tag, kind, inner))
+        if kind == PART and classed > inner[1]:
+            if "main" in (tag, *_ROLE.findall(attrs.lower())):
+                inner = (inner[0], classed)
+            else:
+                around.append(inner[0])
+                inner = (len(around) - 1, classed)
         other += kind == OTHER
-        main += kind == MAIN
+        classed += kind == CLASSED
+        main += kind in (MAIN, PART)
         links += tag == "a"
         headings += tag[0] == "h" and tag[1:].isdigit()
     parts.append(page[at:])
     close()
-    return out
+    words = [0] * len(around)
+    for (_, n, density, *_), a in zip(out, held, strict=True):
+        if a >= 0 and density < 0.5:
+            words[a] += n
+    keep = [a == 0 or words[a] > words[around[a]] for a in range(len(around))]
+    return [(*b[:3], a < 0 or not keep[a], *b[4:]) for b, a in zip(out, held, strict=True)]
 
 
 def features(found: list[tuple[str, int, float, bool, bool, bool]]) -> np.ndarray:

@@ -222,6 +222,27 @@ def test_html_skips_no_more_than_the_element():
         assert " ".join(b[0] for b in op04.blocks(page)) == text, page
 
 
+def test_html_class_words():
+    text = "Much was written on this in the last year, and some of it was read by those who ought to have read it."
+    short = "A shorter text that some reader left here on a rainy day"
+    for name in ("has-sidebar", "post category-social", "overflow-hidden", "sidebar-hidden", "content-sidebar-wrap", "search-page", "menu-open", "ad-free", "warning"):
+        assert op04.main_text(f'<body><div class="{name}"><p>{text}</p><p>{text}</p></div>') == f"{text} {text}", name
+    for name in ("sidebar", "has-sidebar", "social", "related", "site-search", "comments", "hidden", "modal"):
+        for part in ("article", "main", "div role=main"):
+            tag = part.split()[0]
+            assert op04.main_text(f'<div class="{name}"><{part}><p>{text}</p></{tag}><p>{short}</p></div>') == text or name == "has-sidebar", (name, part)
+            assert text in op04.main_text(f'<div class="content"><div id="{name}"><{part}><p>{text}</p></{tag}></div></div>')
+    for title in ("related-work", "search-methods", "related", "search", "comments"):
+        page = f'<article><h2 id="{title}">Head</h2><p>{text}</p><section id="{title}"><p>{short}</p></section></article>'
+        assert op04.main_text(page) == f"Head {text} {short}", title
+    for name in ("sidebar", "ad", "ad-slot", "cookie-notice", "site-footer", "main-nav", "related-posts", "comments-area", "comment_list", "share-buttons", "widget-area-2", "visually-hidden"):
+        assert op04.main_text(f'<article><p>{text}</p><div class="{name}"><p>{short}</p></div></article>') == text, name
+        assert op04.main_text(f'<article><p>{text}</p></article><div id="{name}"><article><p>{short}</p></article><article><p>{short}</p></article></div>') == text, name
+        assert op04.main_text(f'<div><p>{text}</p><p>{text}</p></div><div id="{name}"><article class="comment"><p>{text} {text}</p></article></div>') == f"{text} {text}", name
+    assert op04.main_text(f'<div class="sidebar"><article><p>{text}</p><div class="related"><article><p>{short}</p></article></div></article></div>') == text
+    assert op04.main_text(f'<div class="sidebar" hidden><article><p>{text}</p></article></div><aside><article><p>{text}</p></article></aside>') == ""
+
+
 def test_plan_is_best_fit_decreasing():
     rng = random.Random(9)
     for _ in range(100):
