@@ -2,12 +2,18 @@
 
 A line that begins with `>` signs (blanks and tabs among them allowed) is quoted,
 at the level of their number. A passage is a run of quoted lines of one level in a
-message. Lines are normalised (quote signs off, white space to single spaces,
-lower case) and hashed. The original of a quoted line is the first message that
-has it as a line of its own: the first earlier turn of the same conversation or
-else, if there is none, the first one anywhere. A passage is linked to the message
-that is the original of most of its lines. A message answers the original, in its
-own conversation, of its passages at the shallowest linked level.
+message; blank quoted lines cut it into paragraphs. Passages, paragraphs and lines
+are normalised (quote signs off, all white space to single spaces, so that it is
+no matter where lines were wrapped, lower case) and hashed.
+
+The original of a passage is the first earlier turn of the same conversation that
+holds it as a whole in its own text: as a paragraph, as all that stands between
+its quotes or, for at least `LEAST` words or two lines, as words in a row. A
+passage that none holds is looked up by paragraphs in the same way, and what is
+left by lines; only what the conversation doesn't have is looked for anywhere, as
+a whole, by paragraphs, by lines. Each line then votes for the original found for
+it, and the passage is linked to the message with most votes. A message answers the
+original, in its own conversation, of its passages at the shallowest linked level.
 
 Reply order puts each message behind the one it answers: an answer stands in the
 place of the message at the root of its thread, then come the depth in the thread
@@ -26,6 +32,8 @@ from .shared import stored
 
 #: Turns whose positions are counted together.
 BLOCK = 1024
+#: Words that are no chance find within a text; also those by which places in texts are found.
+LEAST = 5
 
 
 def _depth(line: Column) -> Column:
@@ -33,20 +41,60 @@ def _depth(line: Column) -> Column:
     return F.length(mark) - F.length(F.replace(mark, F.lit(">"), F.lit("")))
 
 
+def _folded(text: Column) -> Column:
+    return F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
+
+
 def _normal(line: Column) -> Column:
-    bare = F.regexp_replace(line, r"^[ \t]*>[ \t>]*", "")
-    return F.lower(F.trim(F.regexp_replace(bare, r"\s+", " ")))
+    return _folded(F.regexp_replace(line, r"^[ \t]*>[ \t>]*", ""))
 
 
 def quoted_passages(messages: DataFrame) -> DataFrame:
-    """(conv_id, turn, passage, level, pos, h): the quoted lines of messages(conv_id, turn, text) that aren't blank."""
+    """(conv_id, turn, own, passage, part, level, pos, words, h): the quoted lines of messages(conv_id, turn, text) that aren't blank."""
     quoting = messages.filter(F.col("text").rlike(r"(?m)^[ \t]*>"))
     lines = quoting.select("conv_id", "turn", "text", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     lines = lines.select("conv_id", "turn", F.xxhash64("text").alias("own"), "pos", _depth(F.col("line")).alias("level"), _normal(F.col("line")).alias("words"))
     message = Window.partitionBy("conv_id", "turn", "own").orderBy("pos")
     lines = lines.withColumn("new", (F.col("level") != F.coalesce(F.lag("level").over(message), F.lit(-1))).cast("int"))
-    lines = lines.withColumn("passage", F.sum("new").over(message)).filter("level > 0 and words <> ''")
-    return lines.select("conv_id", "turn", "own", "passage", "level", "pos", F.xxhash64("words").alias("h"))
+    lines = lines.withColumn("passage", F.sum("new").over(message)).withColumn("part", F.sum((F.col("words") == "").cast("int")).over(message))
+    return lines.filter("level > 0 and words <> ''").select("conv_id", "turn", "own", "passage", "part", "level", "pos", "words", F.xxhash64("words").alias("h"))
+
+
+def _runs(quoted: DataFrame, *key: str) -> DataFrame:
+    """(conv_id, turn, own, *key, h, n, start, found): each passage or paragraph; found is whether to look for its n words in a row."""
+    lines = F.array_sort(F.collect_set(F.struct("pos", "words")))  # a repeated message is one
+    runs = quoted.groupBy("conv_id", "turn", "own", *key).agg(lines.alias("lines"))
+    runs = runs.withColumn("all", F.split(F.array_join(F.col("lines.words"), " "), " ")).withColumn("n", F.size("all"))
+    found = (F.col("n") >= LEAST) | (F.size("lines") > 1)
+    return runs.select("conv_id", "turn", "own", *key, F.xxhash64("all").alias("h"), "n", F.xxhash64(F.slice("all", 1, LEAST)).alias("start"), found.alias("found"))
+
+
+def _in_a_row(blocks: DataFrame, runs: DataFrame) -> DataFrame:
+    """(h, conv_id, from_turn) for the runs that are words in a row of blocks(conv_id, turn, block) of their conversation."""
+    wanted = stored(runs.filter("found").select("conv_id", "start", "n").distinct(), "wanted")
+    blocks = blocks.join(wanted.select("conv_id").distinct(), "conv_id", "left_semi")
+    blocks = blocks.select("conv_id", "turn", F.xxhash64("block").alias("b"), F.split(_folded(F.col("block")), " ").alias("all")).dropDuplicates(["conv_id", "turn", "b"])
+    places = None
+    for k in range(2, LEAST + 1):
+        starts = F.transform(F.sequence(F.lit(1), F.size("all") - (k - 1)), lambda i: F.xxhash64(F.slice("all", i, k)))  # noqa: B023
+        some = blocks.filter(F.size("all") >= k).select("conv_id", "turn", "b", F.posexplode(starts).alias("i", "start"))
+        some = some.join(wanted.filter(F.col("n") == k if k < LEAST else F.col("n") >= k), ["conv_id", "start"])
+        places = some if places is None else places.union(some)
+    placed = places.select("conv_id", "turn", "b", "i", "n").join(blocks, ["conv_id", "turn", "b"]).filter(F.col("i") + F.col("n") <= F.size("all"))
+    return placed.groupBy(F.xxhash64(F.slice("all", F.col("i") + 1, F.col("n"))).alias("h"), "conv_id").agg(F.min("turn").alias("from_turn"))
+
+
+def _whole(messages: DataFrame, runs: DataFrame, *key: str) -> DataFrame:
+    """(conv_id, turn, own, *key, here, there) for each run: the first earlier turn that holds it, the first (conv_id, from_turn) elsewhere."""
+    blocks = messages.select("conv_id", "turn", F.explode(F.split("text", r"(?md)^[ \t]*>.*$")).alias("block")).filter(r"block rlike '\\S'")
+    pieces = F.array_distinct(F.transform(F.concat(F.array("block"), F.split("block", r"\n\s*\n")), lambda x: F.xxhash64(F.split(_folded(x), " "))))
+    own = blocks.select("conv_id", "turn", F.explode(pieces).alias("h")).join(runs.select("h").distinct(), "h", "left_semi")
+    first = stored(own.groupBy("h", "conv_id").agg(F.min("turn").alias("from_turn")), "wholes")
+    anywhere = first.groupBy("h").agg(F.min(F.struct("conv_id", "from_turn")).alias("any"))
+    near = first.union(_in_a_row(blocks, runs)).groupBy("h", "conv_id").agg(F.min("from_turn").alias("from_turn"))
+    found = runs.join(near, ["h", "conv_id"], "left").join(anywhere, "h", "left")
+    here, there = F.when(F.col("from_turn") < F.col("turn"), F.col("from_turn")), F.when(F.col("any.conv_id") != F.col("conv_id"), F.col("any"))
+    return found.select("conv_id", "turn", "own", *key, here.alias("here"), there.alias("there"))
 
 
 def passage_links(messages: DataFrame) -> DataFrame:
@@ -58,9 +106,13 @@ def passage_links(messages: DataFrame) -> DataFrame:
     first = stored(own.groupBy("h", "conv_id").agg(F.min("turn").alias("from_turn")), "originals")
     anywhere = first.groupBy("h").agg(F.min(F.struct("conv_id", "from_turn")).alias("any"))
     near = quoted.join(first, ["h", "conv_id"], "left").join(anywhere, "h", "left")
-    here = F.col("from_turn") < F.col("turn")
-    other = F.col("any.conv_id") != F.col("conv_id")
-    near = near.select("conv_id", "turn", "own", "passage", "level", F.when(here, F.col("conv_id")).when(other, F.col("any.conv_id")).alias("from_conv"), F.when(here, F.col("from_turn")).when(other, F.col("any.from_turn")).alias("from_turn"))
+    near = near.withColumn("here", F.when(F.col("from_turn") < F.col("turn"), F.col("from_turn"))).withColumn("there", F.when(F.col("any.conv_id") != F.col("conv_id"), F.col("any")))
+    for key in (["passage", "part"], ["passage"]):
+        whole = _whole(messages, stored(_runs(quoted, *key), "runs"), *key).withColumnsRenamed({"here": "whole_here", "there": "whole_there"})
+        near = near.join(whole, ["conv_id", "turn", "own", *key], "left")
+        near = near.withColumn("here", F.coalesce("whole_here", "here")).withColumn("there", F.coalesce("whole_there", "there")).drop("whole_here", "whole_there")
+    here = F.col("here").isNotNull()
+    near = near.select("conv_id", "turn", "own", "passage", "level", F.when(here, F.col("conv_id")).otherwise(F.col("there.conv_id")).alias("from_conv"), F.when(here, F.col("here")).otherwise(F.col("there.from_turn")).alias("from_turn"))
     votes = near.filter("from_conv is not null").groupBy("conv_id", "turn", "own", "passage", "level", "from_conv", "from_turn").agg(F.count("*").alias("n_lines"))
     # Most lines first; of equals one of the same conversation, then the earliest.
     rank = F.struct("n_lines", (F.col("from_conv") == F.col("conv_id")).alias("same"), (-F.col("from_conv")).alias("c"), (-F.col("from_turn")).alias("t"))

@@ -321,6 +321,28 @@ def test_quotation(spark):
     assert {(r.turn, r.depth, r.position) for r in got} == {(i, i, i) for i in range(40)}
 
 
+def test_quoted_passages_as_a_whole(spark):
+    a, b = "the first of the two lines", "and the second of them"
+    long = [f"w{i}" for i in range(30)]
+    text, other = " ".join(long), " ".join(reversed(long))
+    wrapped = lambda words, n: "\n".join("> " + " ".join(words[i : i + n]) for i in range(0, len(words), n))
+    rows = [
+        # A whole paragraph in turn 5; its lines first in turns 1 and 2.
+        *((1, t, x) for t, x in enumerate(["hi", f"{a}\nmore", f"{b}\nless", "no", "none", f"intro\n\n{a}\n{b}\n\nend", f"> {a}\n> {b}\nyes"])),
+        # Wrapped at another width: a paragraph, a part of one, two of them with a third left out.
+        *((2, t, x) for t, x in enumerate([f"{text}\n\nbetween\n\n{other}", wrapped(long, 7) + "\nanswer", wrapped(long[3:17], 4) + "\nanswer", wrapped(long, 4) + "\n>\n> [...]\n>\n" + wrapped(long[::-1], 4) + "\nanswer"])),
+        # Short lines in a row within a longer paragraph, and a short line that is no chance find.
+        *((3, t, x) for t, x in enumerate(["a b\nx", "c d\ny yes sir", "q\na b\nc d\nr", "yes", "> a b\n> c d\nso", "> yes\nso"])),
+        # From another conversation; a repeated message; all between two quotes.
+        *((4, t, x) for t, x in enumerate(["start", wrapped(long, 5) + "\nanswer"])),
+        *((5, t, x) for t, x in [(0, f"> p1\n{a}\n\n{b}\n> p2"), (1, f">{a} {b}\nz"), (1, f">{a} {b}\nz")]),
+    ]
+    links = op08.passage_links(spark.createDataFrame(rows, "conv_id long, turn long, text string")).collect()
+    got = {(r.conv_id, r.turn, r.passage): (r.from_conv, r.from_turn) for r in links}
+    assert {(c, t): x for (c, t, _), x in got.items()} == {(1, 6): (1, 5), (2, 1): (2, 0), (2, 2): (2, 0), (2, 3): (2, 0), (3, 4): (3, 2), (3, 5): (3, 3), (4, 1): (2, 0), (5, 1): (5, 0)}
+    assert len(links) == len(got) == 8
+
+
 def test_smallest_capacity():
     rng = random.Random(11)
 
