@@ -26,7 +26,7 @@ from .shared import column, pick, pieces
 BUCKETS = 1 << 15
 #: Added to every count; nothing is impossible.
 SMOOTH = 0.5
-ROUNDS, SET_ROUNDS, MOST = 12, 10, 4
+ROUNDS, SET_ROUNDS = 12, 10
 PENALTY = 4.0
 UNKNOWN = "und"
 
@@ -113,7 +113,7 @@ def _infer(log: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
     # No set of languages fits better than all of them together.
     open_ = np.flatnonzero(_fit(likely, start, count, full) - value > price)
     order = np.argsort(-full, axis=1, kind="stable")
-    for size in range(2, min(MOST, k) + 1):
+    for size in range(2, k + 1):
         if not len(open_):
             break
         words = np.repeat(start[open_] - np.cumsum(count[open_]) + count[open_], count[open_]) + np.arange(count[open_].sum())

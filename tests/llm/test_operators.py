@@ -309,6 +309,18 @@ def test_languages(spark, odd, empty):
     assert op07.predicted_languages(empty).count() == 0
 
 
+def test_more_than_four_languages():
+    rng, names = random.Random(13), [f"l{i}" for i in range(7)]
+    # Each language has letters of its own.
+    word = lambda i: "".join(chr(0x4E00 + 40 * i + rng.randrange(20)) for _ in range(6))
+    model = op07.Model({x: np.bincount(op07.trigrams([" ".join(word(i) for _ in range(3000)).encode()])[0], minlength=op07.BUCKETS) for i, x in enumerate(names)})
+    share = [0.45, 0.15, 0.1, 0.1, 0.1, 0.1, 0.0]
+    text = " ".join(word(i) for i, p in enumerate(share) for _ in range(round(400 * p)))
+    found, _ = model.mixtures([text.encode(), word(3).encode()])
+    assert np.abs(found[0] - share).max() < 0.02
+    assert found[1].tolist() == [0, 0, 0, 1, 0, 0, 0]
+
+
 def test_quotation(spark):
     rows = [(1, 0, "user", "Hello there\nHow are  you?"), (1, 1, "assistant", "Fine thanks.\nAnd you"), (1, 2, "user", "> hello there\n>  how are you?\n\nanswer to the first"), (1, 3, "user", ">> Hello there\n> Answer to the first\nmore"), (1, 4, "user", "unrelated"), (2, 0, "user", "> Fine thanks.\nx"), (2, 0, "user", "> Fine thanks.\nx"), (None, 1, "user", "> hello there"), (1, None, "user", "> hello there\nz"), (3, 0, None, None)]
     got = op08.reply_ordered(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
