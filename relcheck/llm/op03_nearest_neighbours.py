@@ -7,7 +7,8 @@ those are reranked by the exact inner product.
 
 `visit` is calibrated on the data: for a bounded sample of queries the true
 neighbours are found by brute force over all vectors, and `visit` is the number of
-entries that would have been seen before all but the allowed share of them.
+entries that would have been seen before all but the allowed share of them, but at
+least as many as a whole result takes.
 
 Equal vectors are one entry that keeps only as many of its smallest ids as a
 result can hold, and equal queries are searched once; so a vector with very many
@@ -225,7 +226,8 @@ def nearest(vectors: DataFrame, queries: str = "vec_id % 20 = 0", *, top: int =
         upto = np.empty(len(order), dtype=np.int64)
         upto[order] = np.cumsum(count[order])
         needed += upto[cells.to_numpy()].tolist()
-    visit = int(np.quantile(needed, share)) if needed else n
+    # The query's own entry counts, too; so many hold a whole result at least.
+    visit = n if n <= top + 1 or not needed else max(int(np.ceil(np.quantile(needed, share))), top + 1)
 
     regions = int(min(k, max(16, n // 32768)))
     of = np.bincount(np.arange(k * k) // k % regions, weights=count, minlength=regions)

@@ -184,6 +184,22 @@ def test_nearest(spark):
     assert op03.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_nearest_returns_whole_results(spark):
+    rng = np.random.default_rng(14)
+    # A far vector in a cell of its own; a tight cluster of 20, and 20 vectors in cells further off.
+    for centres, size in (([[1, 1, 1, 1]] * 14 + [[9, 9, 9, 9]], 14), ([[5, 5, 5, 5]] * 20 + [[5, 5, 1, 1]] * 10 + [[1, 1, 5, 5]] * 10, 20)):
+        x = (np.array(centres) + rng.normal(size=(len(centres), 4)) * 0.001).astype("float32")
+        rows = [(i, [float(v) for v in v]) for i, v in enumerate(x)]
+        score = x.astype(float) @ x.astype(float).T
+        got: dict[int, list] = {}
+        for r in op03.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), "vec_id < 14").collect():
+            got.setdefault(r.query_id, []).append(r.vec_id)
+        assert got.keys() == set(range(14))
+        for q, found in got.items():
+            want = sorted((i for i in range(len(x)) if i != q), key=lambda i: -score[q, i])[:size]
+            assert len(found) == size and (size == 20 or set(found) == set(want))
+
+
 def test_traverse():
     rng = np.random.default_rng(3)
     a, b, count = rng.random(7), rng.random(7), rng.integers(0, 4, 49)
