@@ -14,10 +14,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..cluster import ship
 from .shared import column, pick, pieces, stored
 from .tokens import Encoder, tokenizer_path
 
@@ -76,21 +78,63 @@ def token_counts(blocks: DataFrame, separator: int, dtype: str = "<u2") -> DataF
     return closed.union(tails)
 
 
-def read_flat(spark: SparkSession, path: str, block_bytes: int = 1 << 17) -> DataFrame:
+def _open(path: str):
+    """A file to seek in, by a path as Spark tells it."""
+    if path.startswith("file:"):
+        return open("/" + path.removeprefix("file:").lstrip("/"), "rb")
+    store, name = fs.FileSystem.from_uri(path)
+    return store.open_input_file(name)
+
+
+def read_flat(spark: SparkSession, path: str, block_bytes: int = 1 << 17, width: int = 2, range_bytes: int = 1 << 26) -> DataFrame:
     """Blocks of raw token files: a stream for each file, in the order of their names' hashes.
 
-    Each file is read as a whole by one task, so files should have the usual size
-    of a shard, some hundreds of MB at most.
+    Files, of any length, are read by ranges of about range_bytes, and a task holds
+    no more than a block of one. width is that of an id in bytes, and ids lie whole
+    in blocks; bytes at a range's end that are no whole id are an error. Only from a
+    store that Spark reads but pyarrow.fs doesn't, each file is read as a whole by
+    one task, and files have 2 GB at most.
     """
+    if block_bytes <= 0 or block_bytes % width:
+        raise ValueError(f"blocks of {block_bytes} bytes don't hold whole ids of {width}")
+    per = max(1, range_bytes // block_bytes)
+
+    def told(stream: int, block: int, data: bytes) -> pa.RecordBatch:
+        if len(data) % width:
+            raise ValueError(f"block {block} of {len(data)} bytes doesn't hold whole ids of {width}")
+        return pa.RecordBatch.from_pylist([{"stream": stream, "block": block, "payload": data}])
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                with _open(row["path"]) as file:
+                    file.seek(row["first"] * block_bytes)
+                    for block in range(row["first"], min(row["first"] + per, -(-row["length"] // block_bytes))):
+                        size = min(block_bytes, row["length"] - block * block_bytes)
+                        data = file.read(size)
+                        if len(data) != size:
+                            raise ValueError(f"{row['path']} ends before byte {row['length']}")
+                        yield told(row["stream"], block, data)
+
+    def cut_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for stream, data in zip(column(batch, "stream").to_pylist(), column(batch, "content"), strict=True):
                 data = data.as_buffer()
                 for i in range(0, data.size, block_bytes):
-                    yield pa.RecordBatch.from_pylist([{"stream": stream, "block": i // block_bytes, "payload": data.slice(i, min(block_bytes, data.size - i)).to_pybytes()}])
-
-    files = spark.read.format("binaryFile").load(path).select(F.xxhash64("path").alias("stream"), "content")
-    return files.mapInArrow(cut, "stream long, block long, payload binary")
+                    yield told(stream, i // block_bytes, data.slice(i, min(block_bytes, data.size - i)).to_pybytes())
+
+    ship(spark)
+    files = spark.read.format("binaryFile").load(path).select(F.xxhash64("path").alias("stream"), "path", "length", "content").filter("length > 0")
+    some = files.select("path").first()
+    try:
+        if some:
+            _open(some["path"]).close()
+    except (pa.ArrowException, OSError, ValueError):
+        return files.select("stream", "content").mapInArrow(cut_whole, "stream long, block long, payload binary")
+    # Only names and lengths are read by Spark, not the content.
+    ranges = files.select("stream", "path", "length").withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / block_bytes), F.lit(per).cast("long"))))
+    ranges = ranges.repartition(max(8, spark.sparkContext.defaultParallelism), "stream", "first")
+    return ranges.mapInArrow(cut, "stream long, block long, payload binary")
 
 
 def _flat(path: str, separable: bool, separator: int, dtype: str, block: int):

@@ -164,6 +164,23 @@ def test_read_flat(spark, tmp_path):
     assert sorted((r.ordinal, r.n_tokens) for r in got) == [(0, 2), (1, 0), (2, 1)]
 
 
+def test_read_flat_by_ranges(spark, tmp_path):
+    ids = np.random.default_rng(15).integers(0, 9, 5001).astype("<u2")
+    ids.tofile(tmp_path / "a b%20.bin")
+    ids[:0].tofile(tmp_path / "none.bin")
+    blocks = op01.read_flat(spark, str(tmp_path), 100, range_bytes=1000)
+    got = blocks.withColumn("task", F.spark_partition_id()).collect()
+    assert b"".join(bytes(r.payload) for r in sorted(got, key=lambda r: r.block)) == ids.tobytes() and len({r.task for r in got}) > 1
+    assert sum(r.n_tokens for r in op01.token_counts(blocks, 8).collect()) == int((ids != 8).sum())
+    # Longer than a row can be; a sparse file.
+    with open(tmp_path / "long.bin", "wb") as file:
+        file.truncate((1 << 31) + (1 << 20))
+    got = op01.read_flat(spark, str(tmp_path / "long.bin"), 1 << 22).agg(F.sum(F.octet_length("payload")), F.max(F.octet_length("payload"))).first()
+    assert tuple(got) == ((1 << 31) + (1 << 20), 1 << 22)
+    with pytest.raises(ValueError):
+        op01.read_flat(spark, str(tmp_path), 101)
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(1500, 16)).astype("float32")
