@@ -103,7 +103,7 @@ def plan(counts: dict[int, int], capacity: int) -> np.ndarray:
 
 def _cut(path: str, separable: bool, last: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, encoder = TaskContext.get().partitionId(), Encoder(path, separable)
+        chunk, encoder = TaskContext.get().partitionId(), Encoder(path, separable, special=True)
         end, seen = np.array([last], dtype="<u4").tobytes(), np.zeros(capacity + 1, dtype=np.int64)
         for rows, texts in pieces(batches, "text"):
             ids = [x + end for x in encoder.ids(texts)]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 
 import numpy as np
@@ -94,7 +95,10 @@ def _plain(core: bytes) -> bool:
 
 
 class Encoder:
-    """Ids of texts under a `tokenizers` file, special tokens' strings taken as ordinary text.
+    """Ids of texts under a `tokenizers` file.
+
+    special: a special token's string in a text is that token, as the library has it
+    by default; otherwise it is ordinary text, and no text has a special token's id.
 
     separable: the tokenizer lowers case, drops white space, never joins what white
     space or a change from letters to other signs separates, and marks the last
@@ -102,11 +106,16 @@ class Encoder:
     encoded once and its ids are reused, with the same result as for whole texts.
     """
 
-    def __init__(self, path: str, separable: bool, dtype: str = "<u4"):
+    def __init__(self, path: str, separable: bool, dtype: str = "<u4", special: bool = False):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
+        # Separable texts are cut at special tokens before they are lowered, which may make more such strings.
+        self._tokenizer.encode_special_tokens = separable or not special
+        added = self._tokenizer.get_added_tokens_decoder().items() if special and separable else ()
+        self._added = {token.content.encode(): np.array([i], dtype=dtype).tobytes() for i, token in added}
+        # The longest of those that begin at a place, as in the library.
+        self._cut = re.compile(b"(" + b"|".join(map(re.escape, sorted(self._added, key=len, reverse=True))) + b")") if self._added else None
         self._separable, self._dtype, self._known = separable, dtype, {}
         if separable:
             with open(path, encoding="utf-8") as file:
@@ -151,10 +160,18 @@ class Encoder:
         for chunk, core in joined:
             known[chunk] = known[core] + known[chunk[-1:]]
 
+    def _ids_between(self, texts: list[bytes]) -> list[bytes]:
+        """The same for texts with special tokens, which are matched before all else."""
+        parts = [self._cut.split(t) for t in texts]
+        found = iter(self.ids([x for p in parts for x in p[::2]]))
+        return [b"".join(next(found) if i % 2 == 0 else self._added[x] for i, x in enumerate(p)) for p in parts]
+
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as little-endian bytes."""
         if not self._separable:
             return self._encode(texts)
+        if self._cut and any(map(self._cut.search, texts)):
+            return self._ids_between(texts)
         known, out, late, fresh = self._known, [], [], set()
         for i, text in enumerate(texts):
             chunks = text.lower().split()

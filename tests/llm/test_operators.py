@@ -130,6 +130,22 @@ def test_encoder():
         assert np.frombuffer(own.ids([text.encode()])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_special_tokens(spark):
+    from tokenizers import Tokenizer
+
+    library, own, rng = Tokenizer.from_file(tokenizer_path()), Encoder(tokenizer_path(), True, special=True), random.Random(16)
+    ids = lambda text: library.encode(text, add_special_tokens=False).ids
+    assert ids("a<|endoftext|>")[-1] == 49407
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "|>", "<", "Word", "two ", " ", "\n", "é.", "l'an", "12", "ﬁ", "\u0301"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(500)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.ids([t.encode() for t in texts])] == list(map(ids, texts))
+    row = op05.pack(spark.createDataFrame([(1, "One<|endoftext|>two")], "doc_id long, text string")).first()
+    want = np.array([*ids("One<|endoftext|>two"), 1], "<u4")
+    assert (row.length, row.ids_crc32) == (len(want), zlib.crc32(want.tobytes()))
+    # op1 closes documents with such an id, so none may come from a text.
+    assert op01.document_token_counts(spark.createDataFrame([(1, "One<|endoftext|>two")], "doc_id long, text string")).count() == 1
+
+
 def test_token_counts(spark, odd, empty):
     library = Encoder(tokenizer_path(), False)
     size = {(r[0], r[1]): len(library.ids([(r[1] or "").encode()])[0]) // 4 for r in ODD}
