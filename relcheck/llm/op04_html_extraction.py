@@ -1,10 +1,12 @@
 """Main text of web pages: flat text blocks and a decision tree.
 
 A page is cut into flat blocks of text at its block-level tags. A block's features
-are its number of words and link density, those of the blocks before and after it,
-whether it is a heading, and what kind of element it stands in, by the names,
-roles and classes of its ancestors. A decision tree (CART, Gini impurity) trained
-on the small labelled table below tells article text from the rest.
+are its number of words and link density and those of the blocks before and after
+it, whether it and the next one are headings, whether its element's tag or role
+names another part or the main part of a page, and whether its text closes an
+article (a heading of comments, a copyright line). Classes and ids aren't looked
+at. A decision tree (CART, Gini impurity) trained on the small labelled table below
+tells article text from the rest.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame
 
 from .shared import column, pick, pieces
 
-# Names of HTML elements, and words of roles, classes and ids.
+# Names of HTML elements and roles.
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li link main menu meta nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 NESTED = frozenset("a article aside blockquote body dd details dialog div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 head header html label li main menu nav ol p search section span table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -32,98 +34,187 @@ SKIPPED = frozenset("annotation annotation-xml applet audio button canvas datali
 FOREIGN = frozenset("foreignobject math svg".split())
 #: Start tags that end an svg or math element they stand in, as in the HTML standard.
 BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()) | frozenset("article aside figure footer header main nav section".split())
-OTHER_TAGS = frozenset("aside dialog footer form head menu nav search".split())
+OTHER_TAGS = frozenset("aside dialog footer head menu nav search".split())
 MAIN_TAGS = frozenset("article main".split())
-OTHER_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
+OTHER_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog menu menubar navigation search toolbar".split())
 MAIN_ROLES = frozenset("article main".split())
-OTHER_WORDS = frozenset(
-    "ad ads adsense advert advertisement advertising adverts aside banner breadcrumb breadcrumbs byline-share comment comments commentlist cookie cookies consent copyright dialog disqus footer form gdpr hidden login masthead menu modal nav navbar navigation newsletter notice notification outbrain overlay pager pagination popup promo promoted promotion recommended recommendations related replies reply respond search share sharing sidebar signin signup sitemap social sponsor sponsored subscribe subscription taboola tags toolbar topbar trending visually-hidden widget widgets".split()
+#: Headings of reader comments.
+CLOSING = re.compile(
+    r"(?:\d+\s+)?(?:reader )?(?:comments?|commentaires?|kommentare?|comentarios?)(?:\s*\(\d+\))?[:.!]*"
+    r"|(?:leave|post|add|write) a (?:comment|reply)[:.!]*|laisser un commentaire[:.!]*|kommentar (?:schreiben|hinterlassen)[:.!]*|dejar? un comentario[:.!]*",
+    re.I,
 )
-MAIN_WORDS = frozenset("article articlebody body-text content entry main maincontent post postbody story storybody".split())
+COPYRIGHT = re.compile(r"\s*(?:copyright\s*)?©", re.I)
 
-#: A class or id is the name of another part if it is of OTHER_WORDS, with one of the first before or some of the last after them.
-BEFORE = frozenset("article bottom entry global google main page post primary secondary site top".split())
-AFTER = frozenset("area articles bar block body bottom box buttons container icons inner item items link links list main panel posts section slot stories top unit wrap wrapper".split())
-
-#: Words, link density, words and link density before, words and link density after, in
-#: another part, in a main part, heading; then 1 for article text. Labelled by hand.
+#: Blocks labelled by hand: words, link density, words and link density before, words and link
+#: density after, heading, next heading, other part, main part, closing; then 1 for article text.
 LABELLED = """
-6 1.0 0 0.0 5 1.0 1 0 0 0
-1 1.0 0 0.0 1 1.0 1 0 0 0
-1 1.0 1 1.0 1 1.0 1 0 0 0
-2 1.0 1 1.0 14 0.0 1 0 0 0
-14 0.0 1 1.0 12 0.0 1 0 0 0
-25 0.0 2 1.0 12 0.0 1 0 0 0
-60 0.0 30 0.0 80 0.0 1 0 0 0
-120 0.0 60 0.0 0 0.0 1 0 0 0
-12 0.1 90 0.0 0 0.0 1 0 0 0
-30 0.0 80 0.0 25 0.0 1 1 0 0
-15 0.0 80 0.0 8 1.0 1 1 0 0
-5 1.0 80 0.0 5 1.0 1 1 0 0
-45 0.0 20 0.0 45 0.0 1 1 0 0
-4 0.0 30 0.0 20 0.0 1 1 1 0
-3 0.0 10 1.0 20 0.0 1 0 1 0
-200 0.0 3 0.0 0 0.0 1 0 0 0
-10 0.0 14 0.0 100 0.0 0 1 1 1
-4 0.0 0 0.0 40 0.0 0 1 1 1
-1 0.0 20 0.0 40 0.0 0 1 1 1
-7 1.0 90 0.0 60 0.0 0 1 1 1
-100 0.0 10 0.0 60 0.0 0 1 0 1
-60 0.0 100 0.0 30 0.0 0 1 0 1
-30 0.1 60 0.0 40 0.0 0 1 0 1
-12 0.0 60 0.0 3 0.0 0 1 0 1
-5 0.0 60 0.0 80 0.0 0 1 0 1
-2 0.0 60 0.0 80 0.0 0 1 0 1
-1 0.0 3 0.0 12 0.1 0 1 0 1
-3 0.0 60 0.0 12 0.1 0 1 0 1
-1 0.0 0 0.0 0 0.0 0 1 0 1
-6 0.0 12 0.0 6 0.0 0 1 0 1
-8 0.5 60 0.0 70 0.0 0 1 0 1
-1 1.0 60 0.0 70 0.0 0 1 0 1
-2 1.0 10 0.0 90 0.0 0 1 0 1
-2 1.0 2 1.0 40 0.0 0 1 0 1
-3 1.0 60 0.0 70 0.0 0 1 0 1
-2 1.0 2 1.0 2 1.0 0 1 0 1
-40 0.4 60 0.0 70 0.0 0 1 0 1
-500 0.0 10 0.0 12 0.1 0 1 0 1
-5 1.0 0 0.0 4 1.0 0 0 0 0
-1 1.0 1 1.0 1 1.0 0 0 0 0
-2 1.0 1 1.0 40 0.0 0 0 0 0
-3 1.0 60 0.0 3 1.0 0 0 0 0
-9 0.9 60 0.0 9 0.9 0 0 0 0
-14 0.8 10 0.9 10 0.9 0 0 0 0
-20 0.7 30 0.0 20 0.7 0 0 0 0
-12 0.5 20 0.6 14 0.5 0 0 0 0
-40 0.6 20 0.6 20 0.6 0 0 0 0
-4 0.0 1 1.0 2 1.0 0 0 0 0
-3 0.0 2 1.0 3 1.0 0 0 0 0
-6 0.0 2 1.0 0 0.0 0 0 0 0
-9 0.2 5 1.0 0 0.0 0 0 0 0
-5 0.0 4 1.0 6 0.4 0 0 0 0
-4 0.0 2 1.0 3 1.0 0 0 1 0
-3 0.0 9 0.9 9 0.9 0 0 1 0
-80 0.0 5 0.0 60 0.0 0 0 0 1
-60 0.0 80 0.0 40 0.0 0 0 0 1
-40 0.1 60 0.0 30 0.0 0 0 0 1
-25 0.0 40 0.0 25 0.0 0 0 0 1
-18 0.0 50 0.0 40 0.0 0 0 0 1
-12 0.0 40 0.0 50 0.0 0 0 0 1
-6 0.0 60 0.0 50 0.0 0 0 0 1
-3 0.0 60 0.0 70 0.0 0 0 0 1
-2 0.0 45 0.0 30 0.0 0 0 0 1
-35 0.2 2 1.0 60 0.0 0 0 0 1
-50 0.0 2 1.0 3 1.0 0 0 0 1
-30 0.0 6 1.0 45 0.0 0 0 0 1
-22 0.0 60 0.0 3 1.0 0 0 0 1
-150 0.0 0 0.0 0 0.0 0 0 0 1
-8 0.0 2 1.0 60 0.0 0 0 1 1
-5 0.0 80 0.0 70 0.0 0 0 1 1
-9 0.0 0 0.0 50 0.0 0 0 1 1
-3 0.0 1 1.0 40 0.0 0 0 1 1
-2 0.0 1 1.0 60 0.0 0 1 1 1
-1 0.0 1 0.0 50 0.0 0 1 0 1
-6 0.0 12 0.3 45 0.0 0 0 1 1
-70 0.25 60 0.1 50 0.0 0 0 0 1
+# other parts by tag or role, short and long, at any place
+1 1.0 1 1.0 1 1.0 0 0 1 0 0 0
+6 1.0 0 0.0 5 1.0 0 0 1 0 0 0
+2 1.0 1 1.0 14 0.0 0 0 1 -1 0 0
+14 0.0 1 1.0 12 0.0 0 1 1 0 0 0
+25 0.0 2 1.0 12 0.0 0 0 1 0 0 0
+60 0.0 30 0.0 80 0.0 0 0 1 1 0 0
+120 0.0 60 0.0 0 0.0 0 0 1 -1 0 0
+12 0.1 90 0.0 0 0.0 0 0 1 0 0 0
+30 0.0 80 0.0 25 0.0 0 0 1 1 0 0
+4 0.0 30 0.0 20 0.0 1 0 1 1 0 0
+3 0.0 10 1.0 20 0.0 1 0 1 0 0 0
+200 0.0 3 0.0 0 0.0 0 0 1 0 0 0
+# outside the main part of a page that has one
+14 0.0 1 1.0 12 0.0 0 1 0 -1 0 0
+40 0.0 80 0.0 30 0.0 0 0 0 -1 0 0
+5 0.0 60 0.0 20 0.0 1 0 0 -1 0 0
+9 0.0 60 0.0 0 0.0 0 0 0 -1 0 0
+2 1.0 2 1.0 2 1.0 0 0 0 -1 0 0
+90 0.0 3 0.0 60 0.0 0 0 0 -1 0 0
+# comments, copyright lines
+2 0.0 80 0.0 3 1.0 1 0 0 0 1 0
+2 0.0 60 0.0 40 0.0 1 0 0 1 1 0
+40 0.0 3 0.5 30 0.0 0 0 0 0 1 0
+60 0.0 40 0.0 50 0.0 0 0 0 1 1 0
+15 0.0 60 0.0 0 0.0 0 0 0 0 1 0
+9 0.1 90 0.0 0 0.0 0 0 0 0 1 0
+8 0.0 3 1.0 0 0.0 0 0 0 1 1 0
+# within the main part: text, headings, short lines, links in text
+10 0.0 14 0.0 100 0.0 1 0 0 1 0 1
+4 0.0 0 0.0 40 0.0 1 0 0 1 0 1
+2 0.0 8 0.0 2 0.0 1 0 0 1 0 1
+2 0.0 2 0.0 32 0.0 0 0 0 1 0 1
+100 0.0 10 0.0 60 0.0 0 0 0 1 0 1
+30 0.1 60 0.0 40 0.0 0 0 0 1 0 1
+12 0.0 60 0.0 3 0.0 0 1 0 1 0 1
+2 0.0 60 0.0 80 0.0 0 0 0 1 0 1
+1 0.0 3 0.0 12 0.1 0 0 0 1 0 1
+5 0.0 60 0.0 0 0.0 0 0 0 1 0 1
+3 0.0 0 0.0 0 0.0 0 0 0 1 0 1
+6 0.0 12 0.0 6 0.0 0 0 0 1 0 1
+8 0.5 60 0.0 70 0.0 0 0 0 1 0 1
+2 1.0 60 0.0 70 0.0 0 0 0 1 0 1
+7 1.0 90 0.0 60 0.0 1 0 0 1 0 1
+40 0.4 60 0.0 70 0.0 0 0 0 1 0 1
+9 0.0 1 1.0 60 0.0 0 0 0 1 0 1
+6 0.0 1 1.0 60 0.0 1 0 0 1 0 1
+25 0.0 1 1.0 2 1.0 0 0 0 1 0 1
+500 0.0 10 0.0 12 0.1 0 0 0 1 0 1
+20 0.0 100 0.0 10 0.0 0 0 0 1 0 1
+4 0.0 150 0.0 200 0.0 0 0 0 1 0 1
+7 0.0 90 0.0 30 0.0 1 0 0 1 0 1
+6 0.0 60 0.0 3 1.0 0 0 0 1 0 1
+15 0.0 20 0.0 6 1.0 0 0 0 1 0 1
+12 0.0 1 1.0 30 0.0 0 0 0 1 0 1
+# within the main part: menus, lists of links
+1 1.0 0 0.0 1 1.0 0 0 0 1 0 0
+1 1.0 1 1.0 1 1.0 0 0 0 1 0 0
+2 1.0 1 1.0 10 0.0 0 1 0 1 0 0
+2 1.0 60 0.0 2 1.0 0 0 0 1 0 0
+8 0.9 60 0.0 9 0.9 0 0 0 1 0 0
+8 0.9 9 0.9 0 0.0 0 0 0 1 0 0
+3 1.0 3 1.0 60 0.0 0 0 0 1 0 0
+1 1.0 0 0.0 60 0.0 0 0 0 1 0 0
+# without any mark-up to go by: menus, lists of links
+5 1.0 0 0.0 4 1.0 0 0 0 0 0 0
+1 1.0 1 1.0 1 1.0 0 0 0 0 0 0
+2 1.0 1 1.0 40 0.0 0 0 0 0 0 0
+2 1.0 1 1.0 10 0.0 0 1 0 0 0 0
+3 1.0 60 0.0 3 1.0 0 0 0 0 0 0
+9 0.9 60 0.0 9 0.9 0 0 0 0 0 0
+14 0.8 10 0.9 10 0.9 0 0 0 0 0 0
+20 0.7 30 0.0 20 0.7 0 0 0 0 0 0
+12 0.5 20 0.6 14 0.5 0 0 0 0 0 0
+40 0.6 20 0.6 20 0.6 0 0 0 0 0 0
+4 1.0 60 0.0 0 0.0 0 0 0 0 0 0
+2 1.0 25 0.0 3 0.0 0 0 0 0 0 0
+# the same: headings of such lists, lines among them, adverts and notices before the title
+4 0.0 60 0.0 3 1.0 1 0 0 0 0 0
+3 0.0 9 0.9 9 0.9 1 0 0 0 0 0
+4 0.0 1 1.0 2 1.0 0 0 0 0 0 0
+3 0.0 60 0.0 1 1.0 0 0 0 0 0 0
+2 0.0 30 0.0 2 1.0 0 0 0 0 0 0
+3 0.0 2 1.0 3 1.0 0 0 0 0 0 0
+9 0.2 5 1.0 0 0.0 0 0 0 0 0 0
+5 0.0 4 1.0 6 0.4 0 0 0 0 0 0
+6 0.0 2 1.0 0 0.0 0 0 0 0 0 0
+5 0.0 1 1.0 6 0.0 0 1 0 0 0 0
+8 0.0 1 1.0 10 0.0 0 1 0 0 0 0
+11 0.0 1 1.0 2 0.0 0 1 0 0 0 0
+16 0.0 2 1.0 9 0.0 0 1 0 0 0 0
+12 0.0 1 1.0 20 0.0 0 1 0 0 0 0
+14 0.0 1 1.0 30 0.0 0 1 0 0 0 0
+12 0.0 2 1.0 2 1.0 0 0 0 0 0 0
+16 0.0 1 1.0 1 1.0 0 0 0 0 0 0
+4 0.0 0 0.0 2 1.0 0 0 0 0 0 0
+2 0.0 0 0.0 1 1.0 1 0 0 0 0 0
+# the same: comments among names, dates and links to answer them
+25 0.0 3 0.6 1 1.0 0 0 0 0 0 0
+14 0.0 4 0.8 2 1.0 0 0 0 0 0 0
+12 0.0 3 0.3 1 1.0 0 0 0 0 0 0
+18 0.0 4 0.3 2 1.0 0 0 0 0 0 0
+3 0.3 20 0.0 12 0.0 0 0 0 0 0 0
+4 0.4 60 0.0 30 0.0 0 0 0 0 0 0
+4 0.5 1 1.0 25 0.0 0 0 0 0 0 0
+3 0.7 2 1.0 14 0.0 0 0 0 0 0 0
+# the same: article text
+80 0.0 5 0.0 60 0.0 0 0 0 0 0 1
+60 0.0 80 0.0 40 0.0 0 0 0 0 0 1
+40 0.1 60 0.0 30 0.0 0 0 0 0 0 1
+25 0.0 40 0.0 25 0.0 0 0 0 0 0 1
+18 0.0 50 0.0 40 0.0 0 0 0 0 0 1
+12 0.0 40 0.0 50 0.0 0 0 0 0 0 1
+6 0.0 60 0.0 50 0.0 0 0 0 0 0 1
+3 0.0 60 0.0 70 0.0 0 0 0 0 0 1
+2 0.0 45 0.0 30 0.0 0 0 0 0 0 1
+1 0.0 20 0.0 6 0.0 0 0 0 0 0 1
+35 0.2 2 1.0 60 0.0 0 0 0 0 0 1
+50 0.0 2 1.0 3 1.0 0 0 0 0 0 1
+30 0.0 6 1.0 45 0.0 0 0 0 0 0 1
+22 0.0 2 1.0 22 0.0 0 0 0 0 0 1
+20 0.0 2 0.0 2 0.9 0 0 0 0 0 1
+19 0.0 4 0.0 1 1.0 0 0 0 0 0 1
+22 0.0 60 0.0 3 1.0 0 0 0 0 0 1
+10 0.0 50 0.0 2 1.0 0 0 0 0 0 1
+14 0.0 30 0.0 1 1.0 0 0 0 0 0 1
+150 0.0 0 0.0 0 0.0 0 0 0 0 0 1
+30 0.0 0 0.0 0 0.0 0 0 0 0 0 1
+30 0.0 1 1.0 9 0.0 0 1 0 0 0 1
+45 0.0 2 1.0 4 0.0 0 1 0 0 0 1
+30 0.0 60 0.0 5 0.0 0 1 0 0 0 1
+4 0.0 60 0.0 5 0.0 0 1 0 0 0 1
+20 0.0 5 0.0 3 0.0 0 1 0 0 0 1
+22 0.0 1 0.0 2 0.0 0 1 0 0 0 1
+14 0.0 8 0.0 5 0.0 0 1 0 0 0 1
+45 0.1 1 0.0 1 0.0 0 1 0 0 0 1
+23 0.0 2 0.5 1 0.0 0 1 0 0 0 1
+12 0.0 5 0.0 14 0.0 0 0 0 0 0 1
+2 0.0 2 0.0 32 0.0 0 0 0 0 0 1
+9 0.0 9 0.0 20 0.0 0 0 0 0 0 1
+17 0.0 40 0.0 15 0.0 0 0 0 0 0 1
+7 0.0 30 0.0 12 0.0 0 0 0 0 0 1
+3 0.0 30 0.0 15 0.0 0 0 0 0 0 1
+70 0.25 60 0.1 50 0.0 0 0 0 0 0 1
+40 0.0 110 0.0 2 0.0 0 0 0 0 0 1
+8 0.0 80 0.0 12 0.0 0 0 0 0 0 1
+1 0.0 120 0.0 9 0.0 0 0 0 0 0 1
+23 0.0 75 0.0 23 0.0 0 0 0 0 0 1
+2 0.0 200 0.0 1 0.0 0 0 0 0 0 1
+90 0.0 150 0.0 200 0.0 0 0 0 0 0 1
+15 0.0 100 0.0 5 0.0 0 0 0 0 0 1
+300 0.0 90 0.0 16 0.0 0 0 0 0 0 1
+6 0.0 12 0.3 45 0.0 0 0 0 0 0 1
+# the same: titles and headings of article text
+8 0.0 2 1.0 60 0.0 1 0 0 0 0 1
+5 0.0 80 0.0 70 0.0 1 0 0 0 0 1
+9 0.0 0 0.0 50 0.0 1 0 0 0 0 1
+3 0.0 1 1.0 40 0.0 1 0 0 0 0 1
+1 0.0 1 1.0 23 0.0 1 0 0 0 0 1
+20 0.0 2 1.0 12 0.0 1 0 0 0 0 1
+8 0.0 120 0.0 18 0.0 1 0 0 0 0 1
+6 0.0 2 1.0 2 0.5 1 0 0 0 0 1
+4 0.0 2 1.0 3 0.6 1 0 0 0 0 1
+10 0.0 10 0.0 10 0.0 1 0 0 0 0 1
+2 0.0 11 0.0 2 0.0 1 0 0 0 0 1
+10 0.0 4 0.0 20 0.0 1 0 0 0 0 1
 """
 
 _TOKEN = re.compile(
@@ -132,42 +223,26 @@ _TOKEN = re.compile(
     re.S | re.I,
 )
 _RAW_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in RAW}
-_ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)|(?=[\s/]|$))", re.I)
-_ROLE = re.compile(r"(?:^|\s)role\s*=\s*[\"']?([a-z]+)")
-#: What an element is: another part, one by a mere class word, a main part, the article or main element itself.
-OTHER, CLASSED, MAIN, PART = 1, 2, 3, 4
-
-
-def _named(token: str) -> int:
-    """CLASSED, MAIN or 0 for a class or id; one that merely has a word of another part says nothing."""
-    words = [token] if token in OTHER_WORDS | MAIN_WORDS else [w for w in re.split(r"[^a-z]+", token) if w]
-    if not OTHER_WORDS.intersection(words):
-        return MAIN if MAIN_WORDS.intersection(words) else 0
-    if "hidden" in words and len(words) > 1:  # what is hidden may be another element
-        return 0
-    rest = words[words[0] in BEFORE :]
-    n = next((i for i, w in enumerate(rest) if w not in OTHER_WORDS), len(rest))
-    return CLASSED if n and AFTER.issuperset(rest[n:]) else 0
-
-
-def _kind(tag: str, attrs: str, inside_main: bool) -> int:
-    """OTHER, CLASSED, MAIN, PART or 0 for what an element's name and attributes say about what it holds."""
-    kind = OTHER if tag in OTHER_TAGS or (tag == "header" and not inside_main) else PART if tag in MAIN_TAGS else 0
-    named = set()
+_ATTRIBUTE = re.compile(r"(?:^|\s)(role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)|(?=[\s/]|$))", re.I)
+#: What an element is: another part, a main part, or one that is another part only if the page's text isn't in it.
+OTHER, MAIN, INNER = 1, 2, 3
+
+
+def _kind(tag: str, attrs: str, inside_main: bool, inside_article: bool) -> int:
+    """OTHER, MAIN, INNER or 0 for what an element's tag and role say about what it holds.
+
+    INNER are forms, which some sites put around all, and articles within an article,
+    which are comments by the HTML standard.
+    """
+    kind = OTHER if tag in OTHER_TAGS or (tag == "header" and not inside_main) else MAIN if tag in MAIN_TAGS else INNER if tag == "form" else 0
     if attrs and not attrs.isspace():
         for name, value in _ATTRIBUTE.findall(attrs):
             name, value = name.lower(), value.strip("\"'").lower()
             if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
                 return OTHER
             if name == "role":
-                kind = OTHER if value in OTHER_ROLES else PART if value in MAIN_ROLES else kind
-            elif name in ("class", "id") and tag not in ("body", "html"):
-                # Ids of headings, and of sections in an article, are made of their titles.
-                if name == "class" or not (re.fullmatch("h[1-6]", tag) or (tag == "section" and inside_main)):
-                    named.update(map(_named, value.split()))
-    if CLASSED in named and kind != OTHER:
-        return MAIN if tag in MAIN_TAGS else CLASSED
-    return kind or (MAIN if MAIN in named else 0)
+                kind = OTHER if value in OTHER_ROLES else MAIN if value in MAIN_ROLES else INNER if value == "form" else kind
+    return INNER if kind == MAIN and tag == "article" and inside_article else kind
 
 
 def _tokens(page: str) -> list[tuple[int, int, str, bool, str]]:
@@ -232,20 +307,14 @@ def _unskipped(tokens: list[tuple[int, int, str, bool, str]]) -> list[tuple[int,
     return out
 
 
-def blocks(page: str) -> list[tuple[str, int, float, bool, bool, bool]]:
-    """(text, words, link density, in another part, in a main part, heading) of each block that has text.
-
-    A class word makes another part of an element, but for a main element in it and
-    for an article element in it that has more text than the page has outside.
-    """
-    out: list[tuple[str, int, float, bool, bool, bool]] = []
-    held: list[int] = []  # by block: the article that it is in, 0 for the page itself, -1 in another part
-    around = [0]  # by article that stands in a classed part: the article around that part
-    stack: list[tuple[str, int, tuple[int, int]]] = []
+def _flat(page: str) -> tuple[list[tuple[str, int, float, int, bool, bool, int]], list[int], int]:
+    """The blocks that have text: (text, words, link density, heading's level, in another part, in a main part, inner part); the inner parts' parents; the number of main parts."""
+    out: list[tuple[str, int, float, int, bool, bool, int]] = []
+    parents = [0]
+    stack: list[tuple[str, int, int]] = []
     parts: list[str] = []
-    linked = other = classed = main = links = headings = 0
-    # The article that counts, and the number of open classed parts around it.
-    inner = (0, 0)
+    heads: list[int] = []
+    linked = other = main = links = articles = inner = n_main = 0
 
     def close() -> None:
         nonlocal linked
@@ -253,18 +322,18 @@ def blocks(page: str) -> list[tuple[str, int, float, bool, bool, bool]]:
             text = " ".join(unescape("".join(parts)).split())
             if text:
                 n = len(text)
-                out.append((text, text.count(" ") + 1, min(1.0, linked / n), other > 0, main > 0, headings > 0))
-                held.append(-1 if other or classed > inner[1] else inner[0])
+                out.append((text, text.count(" ") + 1, min(1.0, linked / n), heads[-1] if heads else 0, other > 0, main > 0, inner))
             parts.clear()
         linked = 0
 
-    def leave(tag: str, kind: int, before: tuple[int, int]) -> None:
-        nonlocal other, classed, main, links, headings, inner
+    def leave(tag: str, kind: int, before: int) -> None:
+        nonlocal other, main, links, articles, inner
         other -= kind == OTHER
-        classed -= kind == CLASSED
-        main -= kind in (MAIN, PART)
+        main -= kind == MAIN
         links -= tag == "a"
-        headings -= tag[0] == "h" and tag[1:].isdigit()
+        articles -= tag == "article"
+        if tag[0] == "h" and tag[1:].isdigit():
+            heads.pop()
         inner = before
 
     at = 0
@@ -289,36 +358,62 @@ def blocks(page: str) -> list[tuple[str, int, float, bool, bool, bool]]:
         if tag in ("p", "li", "a", "body") and stack and (stack[-1][0] == tag or tag == "body"):
             while stack and (stack[-1][0] == tag or tag == "body"):
                 leave(*stack.pop())
-        kind = _kind(tag, attrs, main > 0)
+        kind = _kind(tag, attrs, main > 0, articles > 0)
         stack.append((tag, kind, inner))
-        if kind == PART and classed > inner[1]:
-            if "main" in (tag, *_ROLE.findall(attrs.lower())):
-                inner = (inner[0], classed)
-            else:
-                around.append(inner[0])
-                inner = (len(around) - 1, classed)
+        if kind == INNER:
+            parents.append(inner)
+            inner = len(parents) - 1
+        n_main += kind == MAIN and main == 0
         other += kind == OTHER
-        classed += kind == CLASSED
-        main += kind in (MAIN, PART)
+        main += kind == MAIN
         links += tag == "a"
-        headings += tag[0] == "h" and tag[1:].isdigit()
+        articles += tag == "article"
+        if tag[0] == "h" and tag[1:].isdigit():
+            heads.append(int(tag[1:]))
     parts.append(page[at:])
     close()
-    words = [0] * len(around)
-    for (_, n, density, *_), a in zip(out, held, strict=True):
-        if a >= 0 and density < 0.5:
-            words[a] += n
-    keep = [a == 0 or words[a] > words[around[a]] for a in range(len(around))]
-    return [(*b[:3], a < 0 or not keep[a], *b[4:]) for b, a in zip(out, held, strict=True)]
+    return out, parents, n_main
+
+
+def blocks(page: str) -> list[tuple[str, int, float, bool, bool, int, bool]]:
+    """(text, words, link density, heading, in another part, main, closing) of each block that has text.
+
+    main is 1 in a page's main parts and -1 outside, if they hold most of its text,
+    or a twentieth of what is outside if there is one only; else it is 0 everywhere. Text is what isn't in links or other parts. An inner
+    part is another part unless it holds most of the page's text.
+    """
+    flat, parents, n_main = _flat(page)
+    plain = [0.0 if other else n * (1 - density) for _, n, density, _, other, *_ in flat]
+    held = [0.0] * len(parents)
+    for words, (*_, inner) in zip(plain, flat, strict=True):
+        held[inner] += words
+    for i in range(len(parents) - 1, 0, -1):
+        held[parents[i]] += held[i]
+    apart = [False] * len(parents)
+    for i in range(1, len(parents)):
+        apart[i] = apart[parents[i]] or 2 * held[i] <= held[0]
+    within = sum(w for w, (*_, main, inner) in zip(plain, flat, strict=True) if main and not apart[inner])
+    outside = sum(w for w, (*_, main, inner) in zip(plain, flat, strict=True) if not main and not apart[inner])
+    mostly = (20 if n_main == 1 else 1) * within > outside
+    out, closed, seen = [], 0, False
+    for text, n, density, level, other, main, inner in flat:
+        says = n <= 8 and density < 0.5 and CLOSING.fullmatch(text) is not None
+        if level:
+            closed = level if says and seen else 0 if level <= closed else closed
+        seen = seen or (n >= 20 and density < 0.5)
+        closing = closed > 0 or (says and seen) or (n <= 40 and COPYRIGHT.match(text) is not None)
+        out.append((text, n, density, level > 0, other or apart[inner], (1 if main else -1) if mostly else 0, closing))
+    return out
 
 
-def features(found: list[tuple[str, int, float, bool, bool, bool]]) -> np.ndarray:
+def features(found: list[tuple[str, int, float, bool, bool, int, bool]]) -> np.ndarray:
+    """A row for each block, in the columns of LABELLED; before the first block and after the last one are none of 0 words."""
     if not found:
-        return np.empty((0, 9))
-    own = np.array([(w, d) for _, w, d, *_ in found], dtype=float).reshape(-1, 2)
-    edge = np.zeros((1, 2))
-    kinds = np.array([f[3:] for f in found], dtype=float).reshape(-1, 3)
-    return np.hstack((own, np.vstack((edge, own[:-1])), np.vstack((own[1:], edge)), kinds))
+        return np.empty((0, 11))
+    own = np.array([f[1:3] for f in found], dtype=float)
+    edge, heading = np.zeros((1, 2)), np.array([[f[3]] for f in found], dtype=float)
+    marks = np.array([f[4:] for f in found], dtype=float)
+    return np.hstack((own, np.vstack((edge, own[:-1])), np.vstack((own[1:], edge)), heading, np.vstack((heading[1:], edge[:, :1])), marks))
 
 
 def grow(x: np.ndarray, y: np.ndarray, least: int = 1, depth: int = 8) -> tuple:
@@ -343,7 +438,7 @@ def grow(x: np.ndarray, y: np.ndarray, least: int = 1, depth: int = 8) -> tuple:
 
 @cache
 def tree() -> tuple:
-    table = np.array([row.split() for row in LABELLED.strip().splitlines()], dtype=float)
+    table = np.array([row.split() for row in LABELLED.strip().splitlines() if row[0] != "#"], dtype=float)
     return grow(table[:, :-1], table[:, -1])
 
 
@@ -376,7 +471,8 @@ def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url")) -> Dat
     """The columns to keep of pages(html string), and text and n_chars of the main text.
 
     A null or empty page, and one without article text, has an empty text. Pages
-    need not be well-formed; repeated rows give repeated results.
+    need not be well-formed, and may be of any length; repeated rows give repeated
+    results, an empty table none. Other columns, whatever their names, aren't looked at.
     """
     pages = pick(pages, *keep, "html")
     schema = ", ".join(f"`{n}` {pages.schema[n].dataType.simpleString()}" for n in keep)

@@ -14,7 +14,6 @@ import corpus_pipeline
 from relcheck.llm import op01_token_counts as op01
 from relcheck.llm import op02_near_dedup as op02
 from relcheck.llm import op03_nearest_neighbours as op03
-from relcheck.llm import op04_html_extraction as op04
 from relcheck.llm import op05_best_fit_packing as op05
 from relcheck.llm import op06_decontamination as op06
 from relcheck.llm import op07_language_id as op07
@@ -241,57 +240,6 @@ def test_traverse():
     assert found == order[: len(found)] and count[found].sum() >= 40 > count[found[:-1]].sum()
 
 
-def test_html(spark):
-    page = """<html><head><title>T</title><style>p{}</style></head><body><header><a href=/>Site</a></header><nav><ul><li><a>Home</a></ul></nav>
-    <div class="cookie-notice"><p>We use cookies on this site for many purposes that you may like to read about</p></div><article><h1>Head &amp; line</h1>
-    <p>First <b>bo</b>ld&nbsp;para&#8230; <script>var x = "</p>";</script>with text<p>Second<br>line</article><aside class="sidebar">More to read in the side bar of this very page</aside>
-    <section id="comments"><p>A reader's comment that is long enough to look like text of an article, or nearly so</p></section><form><label>Name</label></form><footer>&copy; us</footer>"""
-    rows = [(1, "u", page), (2, "u", None), (3, "u", ""), (4, None, "<p>" + "word " * 30), (4, None, "<<>><p>" + "word " * 30), (5, "u", "<!-- " * 50)]
-    got = sorted((r.page_id, r.text, r.n_chars) for r in op04.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
-    long = ("word " * 30).strip()
-    assert got[0] == (1, "Head & line First bold para… with text Second line", 50)
-    assert got[1:3] == [(2, "", 0), (3, "", 0)] and got[4] == (4, long, len(long)) and got[5] == (5, "", 0)
-
-
-def test_html_skips_no_more_than_the_element():
-    rest = {
-        '<p>a</p><video-js id="x"></video-js><p>rest</p>': "a rest",
-        "<map-view><p>a</p></map-view><button-group><p>rest</p></button-group>": "a rest",
-        '<p>a</p><svg class="i" /><p>rest</p>': "a rest",
-        "<p>a</p><svg><title/><path><p>rest</p>": "a rest",
-        "<svg><style>p{}</style><text>no</text></svg><p>a <svg><a><text>no</text></a></svg>rest</p>": "a rest",
-        "<svg><foreignObject><p>no</p></foreignObject></svg><p>rest</p>": "rest",
-        "<p>x <math><mi>a</mi><mo>+</mo><mi>b</mi></math> y</p>": "x a+b y",
-        "<p>a<title>no</title ><p>b<script>'<p>no'</scripty>no</script>c<style>no": "a bc",
-        "<p>a<select><option>no</select><button><p>no</button> b</p>": "a b",
-    }
-    for tag in ("applet", "audio", "button", "canvas", "datalist", "map", "object", "select", "template", "video"):
-        rest |= {f"<p>a</p><{tag}><p>rest</p>": "a rest", f"<p>a</p><div><{tag}></div><p>rest</p><{tag}>no</{tag}><p>end</p>": "a rest end", f"<p>a</p><{tag}><p>rest</p><{tag}>no</{tag}>": "a rest"}
-    for page, text in rest.items():
-        assert " ".join(b[0] for b in op04.blocks(page)) == text, page
-
-
-def test_html_class_words():
-    text = "Much was written on this in the last year, and some of it was read by those who ought to have read it."
-    short = "A shorter text that some reader left here on a rainy day"
-    for name in ("has-sidebar", "post category-social", "overflow-hidden", "sidebar-hidden", "content-sidebar-wrap", "search-page", "menu-open", "ad-free", "warning"):
-        assert op04.main_text(f'<body><div class="{name}"><p>{text}</p><p>{text}</p></div>') == f"{text} {text}", name
-    for name in ("sidebar", "has-sidebar", "social", "related", "site-search", "comments", "hidden", "modal"):
-        for part in ("article", "main", "div role=main"):
-            tag = part.split()[0]
-            assert op04.main_text(f'<div class="{name}"><{part}><p>{text}</p></{tag}><p>{short}</p></div>') == text or name == "has-sidebar", (name, part)
-            assert text in op04.main_text(f'<div class="content"><div id="{name}"><{part}><p>{text}</p></{tag}></div></div>')
-    for title in ("related-work", "search-methods", "related", "search", "comments"):
-        page = f'<article><h2 id="{title}">Head</h2><p>{text}</p><section id="{title}"><p>{short}</p></section></article>'
-        assert op04.main_text(page) == f"Head {text} {short}", title
-    for name in ("sidebar", "ad", "ad-slot", "cookie-notice", "site-footer", "main-nav", "related-posts", "comments-area", "comment_list", "share-buttons", "widget-area-2", "visually-hidden"):
-        assert op04.main_text(f'<article><p>{text}</p><div class="{name}"><p>{short}</p></div></article>') == text, name
-        assert op04.main_text(f'<article><p>{text}</p></article><div id="{name}"><article><p>{short}</p></article><article><p>{short}</p></article></div>') == text, name
-        assert op04.main_text(f'<div><p>{text}</p><p>{text}</p></div><div id="{name}"><article class="comment"><p>{text} {text}</p></article></div>') == f"{text} {text}", name
-    assert op04.main_text(f'<div class="sidebar"><article><p>{text}</p><div class="related"><article><p>{short}</p></article></div></article></div>') == text
-    assert op04.main_text(f'<div class="sidebar" hidden><article><p>{text}</p></article></div><aside><article><p>{text}</p></article></aside>') == ""
-
-
 def test_plan_is_best_fit_decreasing():
     rng = random.Random(9)
     for _ in range(100):
