@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType
 
-from .scalars import failing
+from .scalars import OUT_OF_RANGE, failing
 
 Fn = Callable[[Column], Column]
 #: The most elements of a range that are walked.
 BUDGET = 1 << 20
+# Fixed value: the message of a key that a map doesn't have.
+KEY_NOT_FOUND = "key not found"
 
 
 def indices(xs: Column) -> Column:
@@ -67,7 +70,7 @@ def list_shift(xs: Column) -> Column:
 
 
 def list_get(xs: Column, i: Column) -> Column:
-    return failing(F.get(xs, i.cast("int")), (i >= 0) & (i < F.size(xs)), "index out of range")
+    return failing(F.get(xs, i.cast("int")), (i >= 0) & (i < F.size(xs)), OUT_OF_RANGE)
 
 
 def list_set(xs: Column, i: Column, v: Column) -> Column:
@@ -75,6 +78,23 @@ def list_set(xs: Column, i: Column, v: Column) -> Column:
     return F.when((i >= 0) & (i < F.size(xs)), F.transform(xs, lambda x, j: F.when(j == i, v).otherwise(x)))
 
 
+def list_values(xs: Column) -> Column:
+    return xs
+
+
+def list_equal(xs: Column, ys: Column) -> Column:
+    """Equal in length, and element by element."""
+    return (F.size(xs) == F.size(ys)) & F.forall(F.arrays_zip(xs.alias("x"), ys.alias("y")), lambda p: p["x"].eqNullSafe(p["y"]))
+
+
+def list_add(xs: Column, other: Column, list_type: ArrayType, other_type: DataType) -> Column:
+    """xs + other, by the types: another list is put behind it, an element is added; what could be both, or is neither, has no value."""
+    as_list, as_element = other_type == list_type, other_type == list_type.elementType
+    if as_list == as_element:
+        return F.lit(None).cast(list_type)
+    return F.concat(xs, other) if as_list else F.array_append(xs, other)
+
+
 def list_concat(xs: Column, ys: Column) -> Column:
     return F.concat(xs, ys)
 
@@ -116,8 +136,13 @@ def map_values(m: Column) -> Column:
     return F.map_values(m)
 
 
+def map_equal(m: Column, n: Column) -> Column:
+    """The same keys with the same values, in any order."""
+    return list_equal(F.array_sort(F.map_entries(m)), F.array_sort(F.map_entries(n)))
+
+
 def map_get(m: Column, k: Column) -> Column:
-    return failing(F.try_element_at(m, k), F.map_contains_key(m, k), "key not found")
+    return failing(F.try_element_at(m, k), F.map_contains_key(m, k), KEY_NOT_FOUND)
 
 
 def map_set(m: Column, k: Column, v: Column) -> Column:
@@ -156,3 +181,35 @@ def _walk(a: Column, b: Column, step: Column, any_: Column) -> Column:
 def range_equal(a: tuple[Column, Column, Column], b: tuple[Column, Column, Column]) -> Column:
     """Ranges are equal if start, end and step are."""
     return (a[0] == b[0]) & (a[1] == b[1]) & (a[2] == b[2])
+
+
+def range_len(a: Column, b: Column, step: Column | None = None) -> Column:
+    """The number of elements, without walking them; null for a step of 0."""
+    step = F.lit(1) if step is None else step
+    steps = F.call_function("div", (b - a).cast("bigint"), F.when(step != 0, step).cast("bigint"))
+    return F.when(step != 0, F.when(F.when(step > 0, a <= b).otherwise(a >= b), steps + 1).otherwise(F.lit(0).cast("bigint")))
+
+
+def range_fold(a: Column, b: Column, init: Column, f: Callable[[Column, Column, Column], Column], step: Column | None = None) -> Column:
+    """f(accumulator, position, value) over a range."""
+    return list_fold(range_list(a, b, step), init, f)
+
+
+def range_any(a: Column, b: Column, p: Fn, step: Column | None = None) -> Column:
+    return F.exists(range_list(a, b, step), p)
+
+
+def range_all(a: Column, b: Column, p: Fn, step: Column | None = None) -> Column:
+    return F.forall(range_list(a, b, step), p)
+
+
+def range_map(a: Column, b: Column, f: Fn, step: Column | None = None) -> Column:
+    return F.transform(range_list(a, b, step), f)
+
+
+def range_filter(a: Column, b: Column, p: Fn, step: Column | None = None) -> Column:
+    return F.filter(range_list(a, b, step), p)
+
+
+def range_keys(a: Column, b: Column, step: Column | None = None) -> Column:
+    return indices(range_list(a, b, step))

@@ -7,6 +7,7 @@ null. Functions that may fail with a message give a struct(ok, err).
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from datetime import UTC, datetime, timedelta
 from decimal import Decimal
 
@@ -14,6 +15,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WIDE = "decimal(38,0)"
+# Fixed value: the message of a place that a text or list doesn't have.
+OUT_OF_RANGE = "index out of range"
 
 
 def _wide(x: Column) -> Column:
@@ -50,9 +53,12 @@ def mul(a: Column, b: Column) -> Column:
 
 def div(a: Column, b: Column) -> Column:
     """Towards zero; null for a zero divisor. Exact up to 32 digits."""
+    x, y = a.try_cast("bigint"), b.try_cast("bigint")  # longs are divided as longs
+    short = x.isNotNull() & y.isNotNull() & ~((x == -(2**63)) & (y == -1))
     a, b = _wide(a), _wide(b)
     whole = F.try_subtract(a, F.when(b != 0, a % b))
-    return F.when(b != 0, F.try_divide(whole, F.when(b != 0, b))).try_cast(WIDE)
+    long = F.try_divide(whole, F.when(b != 0, b)).try_cast(WIDE)
+    return F.when(short, F.call_function("div", x, F.when(y != 0, y)).cast(WIDE)).when(b != 0, long)
 
 
 def rem(a: Column, b: Column) -> Column:
@@ -86,6 +92,41 @@ def shr(a: Column, n: Column) -> Column:
     return F.when(n >= 0, small)
 
 
+# -- errors, records, unions ---------------------------------------------------
+
+
+def error(message: Column) -> Column:
+    """A failure as a value."""
+    return F.struct(message.cast("string").alias("message"))
+
+
+def message(error: Column) -> Column:
+    return error["message"]
+
+
+def record(**fields: Column) -> Column:
+    """A record; its fields are read by name."""
+    return F.struct(*[fields[n].alias(n) for n in sorted(fields)])
+
+
+def with_field(record: Column, name: str, value: Column) -> Column:
+    """A record with one field set."""
+    return record.withField(name, value)
+
+
+def tagged(tag: str, value: Column, members: dict[str, str]) -> Column:
+    """A value of a union of members (tag to Spark type): the member that it is, and its value."""
+    return F.struct(F.lit(tag).alias("tag"), *[(value if n == tag else F.lit(None)).cast(t).alias(n) for n, t in members.items()])
+
+
+def match(union: Column, arms: dict[str, Callable[[Column], Column]], default: Column | None = None) -> Column:
+    """The arm for the member that a value is; without one, the default or nothing."""
+    out = None
+    for tag, arm in arms.items():
+        out = F.when(union["tag"] == tag, arm(union[tag])) if out is None else out.when(union["tag"] == tag, arm(union[tag]))
+    return out if default is None else out.otherwise(default)
+
+
 # -- bool ----------------------------------------------------------------------
 
 
@@ -113,12 +154,12 @@ def length(s: Column) -> Column:
 
 
 def at(s: Column, i: Column) -> Column:
-    return failing(F.substring(s, i.cast("int") + 1, F.lit(1)), (i >= 0) & (i < F.length(s)), "index out of range")
+    return failing(F.substring(s, i.cast("int") + 1, F.lit(1)), (i >= 0) & (i < F.length(s)), OUT_OF_RANGE)
 
 
 def slice_(s: Column, a: Column, b: Column) -> Column:
     fine = (a >= 0) & (b <= F.length(s)) & (a <= b)
-    return failing(F.substring(s, F.when(fine, a).cast("int") + 1, F.when(fine, b - a).cast("int")), fine, "index out of range")
+    return failing(F.substring(s, F.when(fine, a).cast("int") + 1, F.when(fine, b - a).cast("int")), fine, OUT_OF_RANGE)
 
 
 def chars(s: Column) -> Column:
@@ -140,6 +181,11 @@ def millis(t: Column) -> Column:
     return F.unix_millis(t.cast("timestamp"))
 
 
+def now() -> Column:
+    """This instant, the same all through a query. It isn't a value for checks, which are to give the same result each time."""
+    return F.unix_millis(F.current_timestamp())
+
+
 def instant(ms: Column) -> Column:
     return F.timestamp_millis(ms)
 

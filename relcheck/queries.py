@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
+from .errors import Undecidable
 from .functions import collections as fc
 from .functions import mathlib as fm
 from .functions import scalars as fs
 from .operators.coerce import coerced
-from .operators.master import Master, duplicates, failed_table_checks, row_problems, typed
+from .operators.master import Master, asserted, duplicates, failed_table_checks, row_problems, typed
 from .plans.relation import Relation
-from .types import BOOL, BYTE, INT, LONG, NINT, STRING, DATETIME, enum, member, nullable, refined
+from .types import BOOL, BYTE, DATETIME, INT, INTEGERS, LONG, NINT, STRING, ULONG, alias, converted, enum, member, nullable, refined, same_type
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -259,10 +262,81 @@ def enum_max(spark, sf_dir):
 
 @_query("avg_div", "SELECT CAST(sum(l_quantity) AS BIGINT) // count(*) AS average FROM lineitem")
 def avg_div(spark, sf_dir):
-    both = lines(spark, sf_dir).sum_df("l_quantity").crossJoin(lines(spark, sf_dir).count_df())  # one row each
+    both = lines(spark, sf_dir).aggregate_df(total=("sum", "l_quantity"), n="count")
     return both.select(fs.div(F.col("total"), F.col("n")).cast("bigint").alias("average"))
 
 
+@_query("aggregates_of_gaps", """SELECT CASE WHEN count(x) = count(*) THEN CAST(min(x) AS VARCHAR) ELSE 'declined' END AS least, CAST(max(x) AS VARCHAR) AS most,
+    CAST(coalesce(sum(x), 0) AS VARCHAR) AS total, CAST(count(*) AS VARCHAR) AS n, CASE WHEN count(x) = count(*) THEN 'rows' ELSE 'declined' END AS listed
+    FROM (SELECT nullif(p_size, 7) AS x FROM part)""")
+def aggregates_of_gaps(spark, sf_dir):
+    df = _read(spark, sf_dir, "part").select("p_partkey", F.nullif(F.col("p_size"), F.lit(7)).alias("x"))
+    r = Relation(df, {"p_partkey": LONG, "x": INT}, ("p_partkey",))
+    listed = lambda: r.limit(df.count()).to_list() and "rows"
+    found = [_outcome(f) for f in (lambda: r.min("x"), lambda: r.max("x"), lambda: r.sum("x"), r.count, listed)]
+    return spark.createDataFrame([found], "least string, most string, total string, n string, listed string")
+
+
+def _outcome(f: Callable[[], object]) -> str:
+    """A value as text, or that there is none."""
+    try:
+        return str(f())
+    except Undecidable:
+        return "declined"
+    except TypeError:
+        return "refused"
+
+
+@_query("extreme_of_enum", """SELECT CASE max(o_orderpriority) WHEN '1-URGENT' THEN 'urgent' WHEN '2-HIGH' THEN 'high' WHEN '3-MEDIUM' THEN 'medium' WHEN '4-NOT SPECIFIED' THEN 'unspecified' ELSE 'low' END AS most,
+    CASE min(o_orderpriority) WHEN '1-URGENT' THEN 'urgent' WHEN '2-HIGH' THEN 'high' WHEN '3-MEDIUM' THEN 'medium' WHEN '4-NOT SPECIFIED' THEN 'unspecified' ELSE 'low' END AS least FROM orders""")
+def extreme_of_enum(spark, sf_dir):
+    return orders(spark, sf_dir).aggregate_df(most=("max", "o_orderpriority"), least=("min", "o_orderpriority"))
+
+
+_DECLINED = {
+    "arithmetic": lambda r: r.where(lambda c: c.p_size + 1 > 2).count(),
+    "no_predicate": lambda r: r.where(lambda c: True).count(),
+    "relation_operand": lambda r: r.where(lambda c: c.p_size > r).count(),
+    "correlated": lambda r: r.where(lambda c: c.p_size > r.where(lambda d: d.p_partkey == c.p_partkey).count()).count(),
+    "foreign_predicate": lambda r: r.where(lambda c: r.where(lambda d: c.p_size > 1).count() > 0).count(),
+    "where_after_limit": lambda r: r.limit(2).where(lambda c: c.p_size > 1).to_list(),
+    "order_after_offset": lambda r: r.offset(2).order(lambda c: c.p_size.asc()).to_list(),
+    "count_of_limit": lambda r: r.limit(2).count(),
+    "sum_of_offset": lambda r: r.offset(1).sum("p_size"),
+    "min_of_limit": lambda r: r.limit(1).min("p_size"),
+    "own_less": lambda r: replace(r, fields=r.fields | {"p_size": alias("Own", INT, ("lt",))}).where(lambda c: c.p_size < 3).count(),
+    "own_less_by_alias": lambda r: replace(r, fields=r.fields | {"p_size": alias("Other", alias("Own", INT, ("lt",)))}).where(lambda c: c.p_size < 3).count(),
+    "own_order": lambda r: replace(r, fields=r.fields | {"p_size": alias("Own", INT, ("lt",))}).order(lambda c: c.p_size.asc()).to_list(),
+    "own_sum": lambda r: replace(r, fields=r.fields | {"p_size": alias("Own", INT, ("add",))}).sum("p_size"),
+    "sum_of_unbounded": lambda r: replace(r, fields=r.fields | {"p_size": NINT}).sum("p_size"),
+    "sum_of_ulong": lambda r: replace(r, fields=r.fields | {"p_size": ULONG}).sum("p_size"),
+    "nullable_to_value": lambda r: replace(r, fields=r.fields | {"p_size": nullable(INT)}).where(lambda c: c.p_size == 1).count(),
+    "min_of_nullable": lambda r: replace(r, fields=r.fields | {"p_size": nullable(INT)}).min("p_size"),
+    "refined_operand": lambda r: r.where(lambda c: c.p_size > Quantity.admit(46)).count(),
+    "count_into_byte": lambda r: BYTE.admit(r.count() + 256),
+    "order_of_bool": lambda r: replace(r, fields=r.fields | {"p_size": BOOL}).where(lambda c: c.p_size < True).count(),
+    "null_order": lambda r: r.where(lambda c: c.p_size < None).count(),
+    "other_kind": lambda r: r.where(lambda c: c.p_size == "x").count(),
+}
+
+
+@_query("declined", "SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{'refused' if n in ('order_of_bool', 'null_order', 'other_kind') else 'declined'}')" for n in _DECLINED) + ") t(query, outcome)")
+def declined(spark, sf_dir):
+    """What the algebra doesn't express; each is asked of the whole table."""
+    r = parts(spark, sf_dir)
+    return spark.createDataFrame([(n, _outcome(lambda f=f: f(r))) for n, f in _DECLINED.items()], "query string, outcome string")
+
+
+@_query("answered", """SELECT * FROM (VALUES ('aggregate_ignores_own_order', (SELECT count(*) FROM part)), ('uncorrelated', (SELECT count(*) FROM part WHERE p_size > (SELECT min(p_size) FROM part))),
+    ('into_refined', (SELECT count(*) FROM part WHERE p_size > 45)), ('into_int', (SELECT count(*) FROM part))) t(query, n)""")
+def answered(spark, sf_dir):
+    """Twins of what is declined."""
+    r = parts(spark, sf_dir)
+    own = replace(r, fields=r.fields | {"p_size": alias("Own", INT, ("lt",))})
+    found = [("aggregate_ignores_own_order", own.order(lambda c: c.p_size.asc()).count()), ("uncorrelated", r.where(lambda c: c.p_size > r.min("p_size")).count()), ("into_refined", r.where(lambda c: c.p_size > Quantity.admit(45)).count()), ("into_int", INT.admit(r.count()))]
+    return spark.createDataFrame(found, "query string, n long")
+
+
 # -- scopes, relation values -------------------------------------------------------------
 
 
@@ -273,7 +347,7 @@ def scope_parameter(spark, sf_dir):
 
 @_query("scope_view", "SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority FROM orders WHERE o_orderpriority = '1-URGENT'")
 def scope_view(spark, sf_dir):
-    Orders.views(spark, _read(spark, sf_dir, "orders"))
+    Orders.views(_read(spark, sf_dir, "orders"))
     return spark.table("orders__urgent_orders")
 
 
@@ -298,7 +372,7 @@ def _checked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Master]:
 @_query("refine_violations", f"{_LINE} (l_quantity <= 45) IS NOT TRUE")
 def refine_violations(spark, sf_dir):
     table, master = _checked(spark, sf_dir)
-    return row_problems(table, master).filter(F.exists("_failed", lambda p: p["code"] == "cell_refinement")).select(*LINE_KEY)
+    return row_problems(table, master, each=False).select(*LINE_KEY)
 
 
 @_query(
@@ -308,8 +382,16 @@ def refine_violations(spark, sf_dir):
 )
 def each_violations(spark, sf_dir):
     table, master = _checked(spark, sf_dir)
-    failed = F.filter("_failed", lambda p: p["code"] == "row_validation_failed")
-    return row_problems(table, master).select(*LINE_KEY, F.size(failed).alias("n")).filter("n > 0")
+    return row_problems(table, master, refine=False).select(*LINE_KEY, F.size("_failed").alias("n"))
+
+
+@_query("each_with_methods", f"{_LINE} l_quantity <= 45 AND NOT coalesce(CASE WHEN l_quantity > 3 THEN l_quantity * 2 > l_linenumber + 6 END, false)")
+def each_with_methods(spark, sf_dir):
+    """A method with an assertion within it: a row for which that fails has no value, and fails the check."""
+    fields = Lines.fields | {"l_quantity": Quantity}
+    doubled = lambda row, n: asserted(row.l_quantity > 3, row.l_quantity * n)
+    master = Master("lines", fields, LINE_KEY, each=[lambda r: r.times(2) > r.l_linenumber + 6], methods={"times": doubled})
+    return row_problems(typed(_read(spark, sf_dir, "lineitem"), fields, LINE_KEY), master).filter("_failed[0].code = 'row_validation_failed'").select(*LINE_KEY)
 
 
 @_query("violations_null", "SELECT p_partkey FROM part WHERE (nullif(p_size, 3) > 2) IS NOT TRUE")
@@ -320,10 +402,10 @@ def violations_null(spark, sf_dir):
 
 @_query(
     "all_checks",
-    "SELECT unnest([0, 1, 2, 3]) AS check_, unnest([(SELECT count(*) > 10 FROM part), (SELECT min(p_size) >= 1 FROM part), (SELECT max(p_size) < 20 FROM part), false]) AS passed",
+    "SELECT unnest([0, 1, 2, 3, 4]) AS check_, unnest([(SELECT count(*) > 10 FROM part), (SELECT min(p_size) >= 1 FROM part), (SELECT max(p_size) < 20 FROM part), false, (SELECT sum(p_size) // count(*) > min(p_size) FROM part)]) AS passed",
 )
 def all_checks(spark, sf_dir):
-    checks = [lambda r: r.count() > 10, lambda r: r.min("p_size") >= 1, lambda r: r.max("p_size") < 20, lambda r: r.limit(3).count() == 3]
+    checks = [lambda r: r.count() > 10, lambda r: r.min("p_size") >= 1, lambda r: r.max("p_size") < 20, lambda r: r.limit(3).count() == 3, lambda r: r.sum("p_size") // r.count() > r.min("p_size")]
     master = Master("parts", Parts.fields, Parts.primary, all=checks)
     failed = failed_table_checks(typed(_read(spark, sf_dir, "part"), Parts.fields, Parts.primary), master)
     return spark.createDataFrame([(i, i not in failed) for i in range(len(checks))], "check_ int, passed boolean")
@@ -336,12 +418,12 @@ def _duplicates(primary: str) -> str:
 
 @_query("pk_duplicates", _duplicates("l_orderkey"))
 def pk_duplicates(spark, sf_dir):
-    return duplicates(typed(_read(spark, sf_dir, "lineitem"), Lines.fields, LINE_KEY), ("l_orderkey",)).select(*LINE_KEY)
+    return duplicates(typed(_read(spark, sf_dir, "lineitem"), Lines.fields, LINE_KEY), ("l_orderkey",), Lines.fields).select("_row.*")
 
 
 @_query("pk_composite", _duplicates("l_orderkey, l_linenumber"))
 def pk_composite(spark, sf_dir):
-    return duplicates(typed(_read(spark, sf_dir, "lineitem"), Lines.fields, LINE_KEY), ("l_orderkey", "l_linenumber")).select(*LINE_KEY)
+    return duplicates(typed(_read(spark, sf_dir, "lineitem"), Lines.fields, LINE_KEY), ("l_orderkey", "l_linenumber"), Lines.fields).select("_row.*")
 
 
 # -- coercion ----------------------------------------------------------------------------
@@ -356,6 +438,7 @@ def _coerce(name: str, text: str, type, spark_text: Callable[[], Column], sql: s
 
 
 _NUMBER = "regexp_full_match(t, '[+-]?[0-9]+')"
+_coerce("int_line_end", "CASE WHEN p_size % 2 = 0 THEN p_size || chr(10) ELSE '' || p_size END", INT, lambda: F.when(F.col("p_size") % 2 == 0, F.concat(F.col("p_size").cast("string"), F.lit("\n"))).otherwise(F.col("p_size").cast("string")), f"CASE WHEN {_NUMBER} THEN TRY_CAST(t AS INT) END")
 _coerce("byte", "CASE WHEN p_size % 5 = 0 THEN ' ' || (p_size * 7) WHEN p_size % 5 = 1 THEN '-' || p_size ELSE '' || (p_size * 7) END", BYTE, lambda: F.when(F.col("p_size") % 5 == 0, F.concat(F.lit(" "), (F.col("p_size") * 7).cast("string"))).when(F.col("p_size") % 5 == 1, F.concat(F.lit("-"), F.col("p_size").cast("string"))).otherwise((F.col("p_size") * 7).cast("string")), f"CASE WHEN {_NUMBER} AND TRY_CAST(t AS HUGEINT) BETWEEN 0 AND 255 THEN TRY_CAST(t AS SMALLINT) END")
 _coerce("int", "CASE WHEN p_size % 3 = 0 THEN '+' || p_size WHEN p_size % 3 = 1 THEN '1_0' ELSE p_size || '0000000' END", INT, lambda: F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("+"), F.col("p_size").cast("string"))).when(F.col("p_size") % 3 == 1, F.lit("1_0")).otherwise(F.concat(F.col("p_size").cast("string"), F.lit("0000000"))), f"CASE WHEN {_NUMBER} THEN TRY_CAST(t AS INT) END")
 _coerce("nint", "'99999999999' || p_partkey", NINT, lambda: F.concat(F.lit("99999999999"), F.col("p_partkey").cast("string")), f"CASE WHEN {_NUMBER} THEN CAST(TRY_CAST(t AS HUGEINT) AS VARCHAR) END")
@@ -459,12 +542,23 @@ _list("range_step", lambda xs: _told(fc.range_list(_c("p_size"), F.lit(0), F.lit
 _list("range_half_open", lambda xs: _told(fc.range_literal(_c("p_size") % 4, F.lit(2), closed=False)), "CASE p_size % 4 WHEN 0 THEN '0,1' WHEN 1 THEN '1' WHEN 2 THEN '' ELSE '2' END")
 _list("range_down", lambda xs: _told(fc.range_literal(_c("p_size") % 4, F.lit(1))), "CASE p_size % 4 WHEN 0 THEN '0,1' WHEN 1 THEN '1' WHEN 2 THEN '2,1' ELSE '3,2,1' END")
 _list("range_equal", lambda xs: fc.range_equal((F.lit(0), _c("p_size"), F.lit(1)), (F.lit(0), F.lit(9), F.lit(1))), "p_size = 9")
-_list("math_max_of", lambda xs: F.coalesce(fm.max_of(xs)["ok"].cast("string"), fm.max_of(xs)["err"]), "coalesce(CAST(list_max(xs) AS VARCHAR), 'empty list')")
-_list("math_min_of", lambda xs: F.coalesce(fm.min_of(xs)["ok"].cast("string"), fm.min_of(xs)["err"]), "coalesce(CAST(list_min(xs) AS VARCHAR), 'empty list')")
+_list("math_max_of", lambda xs: F.coalesce(fm.max_of(xs)["ok"].cast("string"), fm.max_of(xs)["err"]), "coalesce(CAST(list_max(xs) AS VARCHAR), 'max of an empty list')")
+_list("math_min_of", lambda xs: F.coalesce(fm.min_of(xs)["ok"].cast("string"), fm.min_of(xs)["err"]), "coalesce(CAST(list_min(xs) AS VARCHAR), 'min of an empty list')")
 _list("math_max_or", lambda xs: fm.max_or(xs, F.lit(5).cast("bigint")), "greatest(coalesce(list_max(xs), 5), 5)")
 _list("math_min_or", lambda xs: fm.min_or(xs, F.lit(2).cast("bigint")), "least(coalesce(list_min(xs), 2), 2)")
-_list("math_sum", lambda xs: _long(fm.sum_of(xs)["ok"]), "CAST(list_sum(xs) AS BIGINT)")
-_list("math_product", lambda xs: _long(fm.product_of(xs)["ok"]), "CAST(list_product(xs) AS BIGINT)")
+_list("math_sum", lambda xs: F.coalesce(fm.sum_of(xs)["ok"].cast("string"), fm.sum_of(xs)["err"]), "coalesce(CAST(CAST(list_sum(xs) AS BIGINT) AS VARCHAR), 'sum of an empty list')")
+_list("math_product", lambda xs: F.coalesce(fm.product_of(xs)["ok"].cast("string"), fm.product_of(xs)["err"]), "CASE WHEN len(xs) = 0 THEN 'product of an empty list' ELSE CAST(CAST(list_product(xs) AS BIGINT) AS VARCHAR) END")
+_list("list_values", lambda xs: _told(fc.list_values(xs)), _text("xs"))
+_list("list_equal", lambda xs: fc.list_equal(xs, F.transform(F.sequence(F.lit(0), F.size(xs)), lambda i: (i * _c("p_size")) % 11)) | fc.list_equal(xs, F.array(F.lit(0).cast("bigint"))), "xs = [0]")
+_list("list_add_element", lambda xs: _told(fc.list_add(xs, F.lit(5).cast("bigint"), ArrayType(LongType()), LongType())), _text("list_append(xs, 5)"))
+_list("list_add_list", lambda xs: _told(fc.list_add(xs, xs, ArrayType(LongType()), ArrayType(LongType()))), _text("list_concat(xs, xs)"))
+_list("range_len", lambda xs: fc.range_len(_c("p_size"), F.lit(0), F.lit(-7)), "CAST(len(range(p_size, -1, -7)) AS BIGINT)")
+_list("range_fold", lambda xs: _long(fc.range_fold(F.lit(2), _c("p_size"), F.lit(0).cast("bigint"), lambda a, k, v: a + (k + 1) * v, F.lit(3))), "CAST(coalesce(list_sum(list_transform(range(2, p_size + 1, 3), lambda v, k: k * v)), 0) AS BIGINT)")
+_list("range_any", lambda xs: fc.range_any(F.lit(1), _c("p_size"), lambda v: v * v == _c("p_size")), "len(list_filter(range(1, p_size + 1), lambda v: v * v = p_size)) > 0")
+_list("range_all", lambda xs: fc.range_all(F.lit(5), _c("p_size"), lambda v: v < 20), "p_size < 20")
+_list("range_map", lambda xs: _told(fc.range_map(F.lit(1), _c("p_size") % 7, lambda v: v * 3)), _text("list_transform(range(1, p_size % 7 + 1), lambda v: v * 3)"))
+_list("range_filter", lambda xs: _told(fc.range_filter(F.lit(1), _c("p_size"), lambda v: v % 5 == 0)), _text("list_filter(range(1, p_size + 1), lambda v: v % 5 = 0)"))
+_list("range_keys", lambda xs: _told(fc.range_keys(F.lit(3), _c("p_size") % 9)), _text("range(0, greatest(p_size % 9 - 2, 0))"))
 
 _M = "map(['size', 'seven'], [p_size, p_size % 7])"
 
@@ -489,7 +583,31 @@ _map("map_values", lambda m: _told(fc.map_values(m)), _text("map_values(m)"))
 _map("map_get", lambda m: F.coalesce(fc.map_get(m, F.lit("none"))["ok"].cast("string"), fc.map_get(m, F.lit("none"))["err"]), "'key not found'")
 _map("map_set", lambda m: _told(fc.map_values(fc.map_set(m, F.lit("size"), F.lit(-1)))), "'-1,' || (p_size % 7)")
 
+_map("map_equal", lambda m: fc.map_equal(m, F.create_map(F.lit("seven"), F.lit(3), F.lit("size"), _c("p_size"))), "p_size % 7 = 3")
+
 _P = ("part", "p_partkey")
+_scalar("error_message", *_P, lambda: fs.message(fs.error(F.concat(F.lit("no "), _c("p_name")))), "'no ' || p_name")
+_scalar("record_field", *_P, lambda: fs.with_field(fs.record(size=_c("p_size"), brand=_c("p_brand")), "size", _c("p_size") + 1)["size"], "p_size + 1")
+_UNION = {"small": "int", "name": "string"}
+_scalar("union_match", *_P, lambda: fs.match(F.when(_c("p_size") < 10, fs.tagged("small", _c("p_size"), _UNION)).otherwise(fs.tagged("name", _c("p_name"), _UNION)), {"small": lambda v: (v * 2).cast("string"), "name": lambda v: F.upper(v)}), "CASE WHEN p_size < 10 THEN CAST(p_size * 2 AS VARCHAR) ELSE upper(p_name) END")
+_scalar("now", *_P, lambda: fs.now() > F.lit(fs.parse_datetime("D2024-01-01T00:00:00Z")), "true")
+_scalar("convert_sbyte", *_P, lambda: converted(_c("p_size") * 5 - 128, INTEGERS["sbyte"]).cast("int"), "CASE WHEN p_size * 5 - 128 <= 127 THEN p_size * 5 - 128 END")
+_scalar("convert_ulong", *_P, lambda: converted(_c("p_size") - 9, ULONG).cast("string"), "CASE WHEN p_size >= 9 THEN CAST(p_size - 9 AS VARCHAR) END")
+_scalar("convert_refined", *_P, lambda: Quantity.admitted(_c("p_size") + 10), "CASE WHEN p_size <= 35 THEN p_size + 10 END")
+
+
+@_query("type_bounds", "SELECT * FROM (VALUES ('sbyte', '-128', '127'), ('short', '-32768', '32767'), ('int', '-2147483648', '2147483647'), ('long', '-9223372036854775808', '9223372036854775807'), ('byte', '0', '255'), ('ushort', '0', '65535'), ('uint', '0', '4294967295'), ('ulong', '0', '18446744073709551615')) t(name, least, most)")
+def type_bounds(spark, sf_dir):
+    return spark.createDataFrame([(n, str(t.lo), str(t.hi)) for n, t in INTEGERS.items() if t.hi is not None], "name string, least string, most string")
+
+
+@_query("type_equal", "SELECT * FROM (VALUES ('int = int', true), ('int = long', false), ('alias = base', false), ('alias = alias', true)) t(pair, equal)")
+def type_equal(spark, sf_dir):
+    own = alias("Own", INT)
+    found = [("int = int", same_type(INT, INT)), ("int = long", same_type(INT, LONG)), ("alias = base", same_type(own, INT)), ("alias = alias", same_type(own, alias("Own", INT)))]
+    return spark.createDataFrame(found, "pair string, equal boolean")
+
+
 _scalar("math_max", *_P, lambda: fm.max2(_c("p_size"), F.lit(20)), "greatest(p_size, 20)")
 _scalar("math_min", *_P, lambda: fm.min2(_c("p_size"), F.lit(20)), "least(p_size, 20)")
 _scalar("math_clamp", *_P, lambda: fm.clamp(_c("p_size"), F.lit(10), F.lit(30)), "least(greatest(p_size, 10), 30)")
@@ -498,3 +616,5 @@ _scalar("math_sign", *_P, lambda: fm.sign(_c("p_size") - 25), "CAST(sign(p_size
 _scalar("math_gcd", *_P, lambda: _long(fm.gcd(_c("p_partkey"), _c("p_size"))), "CAST(gcd(p_partkey, p_size) AS BIGINT)")
 _scalar("math_lcm", *_P, lambda: _long(fm.lcm(_c("p_partkey"), _c("p_size"))), "CAST(lcm(p_partkey, p_size) AS BIGINT)")
 _scalar("math_pow", *_P, lambda: _long(fm.pow_(F.lit(-3), _c("p_size") % 30)), "CAST(CAST(3 AS HUGEINT) ** (p_size % 30) AS HUGEINT)::BIGINT * CASE WHEN p_size % 2 = 1 AND (p_size % 30) % 2 = 1 THEN -1 WHEN (p_size % 30) % 2 = 1 THEN -1 ELSE 1 END")
+
+from . import load_queries  # noqa: E402, F401  registers its queries

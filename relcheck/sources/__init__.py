@@ -10,7 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..errors import SpecError
 
-Reader = Callable[[SparkSession, str, dict[str, object]], tuple[list[str], DataFrame]]
+
+@dataclass(frozen=True)
+class Raw:
+    """A source as text: names of columns, and rows (line long, cells array<string>, places array<struct<line, col>>)."""
+
+    header: list[str]
+    rows: DataFrame
+
+
+Reader = Callable[[SparkSession, str, dict[str, object]], Raw]
 _formats: dict[str, tuple[Reader, dict[str, type]]] = {}
 
 
@@ -52,14 +61,12 @@ def check_options(source: Source) -> list[SpecError]:
 def confined(base: str, path: str) -> str:
     """path below base; absolute paths, drives and steps upwards are refused."""
     if path.startswith(("/", "\\")) or re.match(r"^[A-Za-z][A-Za-z0-9+.-]*:", path) or ".." in re.split(r"[/\\]", path):
-        raise SpecError("source_outside_base", path)
+        raise SpecError("locator_escapes_root", path)
     return f"{base.rstrip('/')}/{path}"
 
 
-def read(spark: SparkSession, source: Source, base: str) -> tuple[list[str], DataFrame]:
-    """The header and the raw rows (_row, _line, cells, cols) of a source."""
-    if wrong := check_options(source):
-        raise wrong[0]
+def read(spark: SparkSession, source: Source, base: str) -> Raw:
+    """A source as text; SpecError or Unreadable say why there is none."""
     return lookup(source.format)(spark, confined(base, source.path), dict(source.options))
 
 

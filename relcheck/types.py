@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from .errors import SpecError, Undecidable
@@ -73,16 +73,40 @@ class LogicalType:
             raise TypeError(f"{value!r} isn't a value of {self.name}")
         return value
 
-    def admit(self, value: object, test: Callable[[object], bool] | None = None) -> object:
-        """A host value converted to this type: out of range, or refused by its test, it has no value."""
+    def admit(self, value: object) -> object:
+        """A host value converted to this type: out of range, or refused by a refinement in its chain, it has no value."""
+        if value is None:
+            if not self.nullable:
+                raise Undecidable(f"null isn't a {self.name}")
+            return None
         if self.kind == "int":
-            lo, hi = self.bounds
-            if not lo <= value <= hi:
+            lo, hi = self.lo, self.hi
+            if (lo is not None and value < lo) or (hi is not None and value > hi):
                 raise Undecidable(f"{value} is out of range for {self.name}")
-        if test is not None and not test(value):
-            raise Undecidable(f"{value} isn't a {self.name}")
+        for t in self.chain():
+            if t.predicate is not None and not _holds(t.predicate, value.value if isinstance(value, Member) else value):
+                raise Undecidable(f"{value} isn't a {t.name}")
         return value
 
+    def admitted(self, value: Column) -> Column:
+        """A column converted to this type: null where admit() has no value."""
+        out = converted(value, self) if self.kind == "int" else value
+        for t in self.chain():
+            if t.predicate is not None:
+                out = F.when(F.coalesce(t.predicate(out), F.lit(False)), out)
+        return out
+
+
+def _holds(predicate: Callable, value: object) -> bool:
+    """Whether a predicate written for columns is true of a host value."""
+    try:
+        held = predicate(value)
+    except (TypeError, AttributeError, ValueError):  # it calls functions of columns
+        held = predicate(F.lit(value))
+    if isinstance(held, Column):
+        held = SparkSession.active().range(1).select(held).first()[0]
+    return held is True
+
 
 @dataclass(frozen=True)
 class Member:
@@ -154,6 +178,11 @@ def nullable(base: LogicalType) -> LogicalType:
     return LogicalType(f"{base.name} | null", base.kind, base.spark, base.lo, base.hi, base.members, base, overrides=base.overrides, nullable=True)
 
 
+def same_type(a: LogicalType, b: LogicalType) -> bool:
+    """Types are equal by name, with all they are made from."""
+    return [(t.name, t.kind, t.members) for t in a.chain()] == [(t.name, t.kind, t.members) for t in b.chain()]
+
+
 def converted(value: Column, to: LogicalType) -> Column:
     """A number as `to`: null if it is out of range."""
     wide = value.cast("decimal(38,0)")

@@ -1,21 +1,26 @@
 """Relations, sources, coercion and validation on small tables, each check with a failing twin."""
 
+import csv
+import io
 import random
 
 import duckdb
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from relcheck.errors import SpecError, Undecidable
+from relcheck.errors import SpecError, Undecidable, Unreadable
 from relcheck.functions import collections as fc
 from relcheck.functions import mathlib as fm
 from relcheck.functions import scalars as fs
 from relcheck.operators.coerce import coerced
-from relcheck.operators.master import Master, dump, failed_table_checks, load, report, typed
+from relcheck.operators.master import Master, Project, dump, duplicates, failed_table_checks, load, report, typed
 from relcheck.plans import sqltext
 from relcheck.plans.relation import Relation
 from relcheck.sources import Source, check_options, confined
-from relcheck.sources.csv import fast_rows, records
+from relcheck.sources.csv import fast_rows, read_csv, records
 from relcheck.streaming import check_stream
 from relcheck.types import BOOL, BYTE, DATETIME, INT, INTEGERS, LONG, NINT, STRING, ULONG, alias, enum, member, nullable, refined
 
@@ -56,11 +61,24 @@ def test_declined(spark):
         lambda: cards(spark, [(1, None)]).max("power"),
         lambda: cards(spark, [(1, None), (2, 3)]).to_list(),
         lambda: BYTE.admit(300),
+        lambda: Level.admit(-1),
+        lambda: refined("Near", INT, lambda x: F.abs(x) < 3).admit(-4),
+        lambda: r.where(lambda c: c.power > r.where(lambda d: d.id == c.id).count()).count(),
+        lambda: r.where(lambda c: r.where(lambda d: c.id > 1).count() > 0).count(),
+        lambda: cards(spark, power=nullable(INT)).min("power"),
     ):
         with pytest.raises(Undecidable):
             query()
     assert cards(spark, power=alias("Own", INT, ("lt",))).order(lambda c: c.power.asc()).count() == 3
     assert cards(spark, [(1, None), (2, 3)]).max("power") == 3
+    assert (Level.admit(4), refined("Near", INT, lambda x: F.abs(x) < 3).admit(-2), nullable(INT).admit(None)) == (4, -2, None)
+    assert r.where(lambda c: c.power > r.min("power")).count() == 2
+    # Plans decline as they run.
+    gaps = cards(spark, [(1, 5), (2, None), (3, 7)])
+    assert gaps.max_df("power").first()[0] == 7 and gaps.limit(1).rows().count() == 1
+    for plan in (lambda: gaps.min_df("power"), lambda: gaps.rows(), lambda: gaps.limit(2).rows(), lambda: cards(spark, [(1, None)]).max_df("power")):
+        with pytest.raises(PySparkException, match="undecidable"):
+            plan().collect()
     for query in (lambda c: c.power == "x", lambda c: c.ok < True, lambda c: c.power < None, lambda c: c.power and c.power):
         with pytest.raises(TypeError):
             cards(spark, [(1, 2, True)], ok=BOOL).where(query)
@@ -107,7 +125,7 @@ def test_random_predicates(spark):
     for _ in range(12):
         found = r.where(grow(3))
         sql, values = sqltext.select(found, "t")
-        assert [x.id for x in found.rows().collect()] == [x[0] for x in c.execute(sql, values).fetchall()]
+        assert [x.id for x in found.filtered().orderBy("id").collect()] == [x[0] for x in c.execute(sql, values).fetchall()]
 
 
 def test_sql_text(spark):
@@ -119,62 +137,116 @@ def test_sql_text(spark):
 
 
 def test_csv_records():
-    assert list(records("id,name\n1,Fireball\n\n2,\n3", ","))[1:] == [(2, ["1", "Fireball"], [1, 3]), (4, ["2", ""], [1, 3]), (5, ["3"], [1])]
-    assert list(records('a,b\r\n"x\ny","q""z"\r\né,1', ",")) == [(1, ["a", "b"], [1, 3]), (2, ["x\ny", 'q"z'], [1, 4]), (4, ["é", "1"], [1, 4])]
-    for broken in ('"open', '"a"b', 'a"b'):
+    assert list(records("key,word\n1,Lantern\n\n2,\n3", ","))[1:] == [(2, ["1", "Lantern"], [(2, 1), (2, 3)]), (4, ["2", ""], [(4, 1), (4, 3)]), (5, ["3"], [(5, 1)])]
+    assert list(records('a,b\r\n"x\r\ny","q""z"\r\né,1', ",")) == [(1, ["a", "b"], [(1, 1), (1, 3)]), (2, ["x\ny", 'q"z'], [(2, 1), (3, 4)]), (4, ["é", "1"], [(4, 1), (4, 4)])]
+    for broken in ('"open', '"a"b', 'a"b', 'a"b\nc"d'):
         with pytest.raises(ValueError):
             list(records(broken, ","))
+    wide = ",".join('"x"' for _ in range(50_000))
+    assert len(list(records(wide, ","))[0][1]) == 50_000
+
+
+@given(st.lists(st.lists(st.text('ab",\n\r é', max_size=6), min_size=1, max_size=4), min_size=1, max_size=6))
+@settings(max_examples=200, deadline=None)
+def test_csv_round_trip(rows):
+    out = io.StringIO()
+    csv.writer(out, quoting=csv.QUOTE_ALL, lineterminator="\n").writerows(rows)
+    want = [[c.replace("\r\n", "\n") for c in r] for r in rows]
+    found = list(records(out.getvalue(), ","))
+    assert [cells for _, cells, _ in found] == want
+    lines = out.getvalue().split("\n")
+    for _, _, places in found:
+        assert all(lines[line - 1].encode()[col - 1 :].startswith(b'"') for line, col in places)
+
+
+def test_csv_splits(spark, tmp_path):
+    """A file in many splits, with records over the ends of several, is read as in one."""
+    rng = random.Random(5)
+    text = "id,word\n" + "".join(f'{i},{rng.choice(["plain", "", chr(34) + "q, " + chr(10) * rng.randint(0, 40) + "é" * rng.randint(0, 30) + chr(34)])}\n' + "\n" * rng.randint(0, 1) for i in range(90))
+    (tmp_path / "s.csv").write_text(text)
+    want = [(line, cells, places) for line, cells, places in records(text, ",")][1:]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        raw = read_csv(spark, str(tmp_path / "s.csv"), {})
+        (tmp_path / "open.csv").write_text(text + '"open')
+        with pytest.raises(Unreadable):
+            read_csv(spark, str(tmp_path / "open.csv"), {})
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    got = [(r.line, r.cells, [tuple(p) for p in r.places]) for r in raw.rows.orderBy("line").collect()]
+    assert raw.header == ["id", "word"] and got == want
 
 
-def skill(fields=None, **more):
-    return Master("Skill", fields or {"id": INT, "name": STRING, "power": Level}, ("id",), [Source("csv", "s.csv")], **more)
+def lamp(fields=None, **more):
+    return Master("Lamp", fields or {"id": INT, "word": STRING, "watts": Level}, ("id",), [Source("csv", "s.csv")], **more)
 
 
 def told(spark, tmp_path, master, text):
-    (tmp_path / "s.csv").write_text(text)
+    (tmp_path / "s.csv").write_bytes(text if isinstance(text, bytes) else text.encode())
     [(_, table, found)] = load(spark, master, str(tmp_path))
-    return table, sorted((r.code, r.row, r.col, r.field, r.key, r.first) for r in found.collect())
+    return table, sorted(((r.code, r.row, r.col, r.field, r.key, r.first) for r in found.collect()), key=repr)
+
+
+def text_of(name, path, table, fields):
+    return [r.line for r in dump(name, path, table, fields).collect()]
 
 
 def test_load(spark, tmp_path):
-    table, found = told(spark, tmp_path, skill(), "id,name,power\n1,Fireball,30\n2,Heal,12\n")
-    assert found == [] and dump("Skill", "s.csv", table, skill().fields) == "Skill <- s.csv\n1 | Fireball | 30\n2 | Heal | 12"
-    table, found = told(spark, tmp_path, skill(), "id,name,power\noops,Heal,12")
-    assert found == [("cell_type_mismatch", 2, 1, "id", None, None)] and "<unevaluated> | Heal" in dump("Skill", "s.csv", table, skill().fields)
-    assert told(spark, tmp_path, skill(), "id,name,power\n1,Drain,-5")[1] == [("cell_refinement", 2, 9, "power", None, None)]
-    assert told(spark, tmp_path, skill(), "power,extra,id,name\n3,x,1,a")[1] == []
-    assert told(spark, tmp_path, skill(), "id,name\n1,a")[1] == [("missing_column", None, None, None, None, None)]
-    assert told(spark, tmp_path, skill({"id": INT, "name": STRING}), "id,name\n1,Heal\n2,Fire\n1,Frost")[1] == [("duplicate_primary_key", 4, 1, None, "id=1", 2)]
-    assert told(spark, tmp_path, skill({"id": INT, "name": STRING}), "id,name\n2\n")[1] == [("cell_type_mismatch", 2, None, "name", None, None)]
-    assert told(spark, tmp_path, skill({"id": INT, "at": DATETIME}), "id,at\n2,x\n")[1] == [("unsupported_field_type", None, None, None, None, None)]
-    for text, code in (("id,id\n1,1", "duplicate_header"), ("", "missing_header"), ("id,name,power\n1,a,2,EXTRA", "row_too_long")):
-        (tmp_path / "s.csv").write_text(text)
-        [(_, table, found)] = load(spark, skill(), str(tmp_path))
-        assert table is None and [r.code for r in found.collect()] == [code]
-    (tmp_path / "s.csv").write_text("id,name\n1,\n")
-    assert [tuple(r) for r in fast_rows(spark, str(tmp_path / "s.csv"), ["id", "name"]).collect()] == [("1", "")]
+    table, found = told(spark, tmp_path, lamp(), "id,word,watts\n4,desk,60\n9,hall,25\n")
+    assert found == [] and text_of("Lamp", "s.csv", table, lamp().fields) == ["Lamp <- s.csv", "4 | desk | 60", "9 | hall | 25"]
+    table, found = told(spark, tmp_path, lamp(), "id,word,watts\nno,hall,25")
+    assert found == [("cell_type_mismatch", 2, 1, "id", None, None)] and "<unevaluated> | hall" in text_of("Lamp", "s.csv", table, lamp().fields)[1]
+    assert told(spark, tmp_path, lamp(), "id,word,watts\n4,attic,-3")[1] == [("cell_refinement", 2, 9, "watts", None, None)]
+    assert told(spark, tmp_path, lamp(), 'word,id,watts\n"two\nlines",4,-3')[1] == [("cell_refinement", 3, 10, "watts", None, None)]
+    assert told(spark, tmp_path, lamp(), "watts,extra,id,word\n3,x,1,a")[1] == []
+    assert told(spark, tmp_path, lamp(), "id,word\n1,a")[1] == [("missing_column", None, None, None, None, None)]
+    assert told(spark, tmp_path, lamp({"id": INT, "word": STRING}), "id,word\n4,desk\n9,hall\n4,attic")[1] == [("duplicate_primary_key", 4, 1, None, "id=4", 2)]
+    assert told(spark, tmp_path, lamp({"id": INT, "word": STRING}), "id,word\n2\n")[1] == [("cell_type_mismatch", 2, None, "word", None, None)]
+    assert told(spark, tmp_path, lamp({"id": INT, "at": DATETIME}), "id,at\n2,x\n")[1] == [("unsupported_field_type", None, None, None, None, None)]
+    for text, row in (("id,id\n1,1", None), ("", None), ("id,word,watts\n1,a,2,EXTRA", 2), (b"id,word,watts\n1,\xff,2", 2)):
+        assert told(spark, tmp_path, lamp(), text) == (None, [("source_unreadable", row, None, None, None, None)])
+    (tmp_path / "a[1]*.csv").write_text("id\n7\n")
+    (tmp_path / "folder").mkdir()
+    found = load(spark, Master("Lamp", {"id": INT}, ("id",), [Source("csv", p) for p in ("a[1]*.csv", "folder", "none.csv")]), str(tmp_path))
+    assert [t is not None for _, t, _ in found] == [True, False, False] and found[0][1].first()[0] == 7
+    (tmp_path / "s.csv").write_text("id,word\n1,\n")
+    assert [tuple(r) for r in fast_rows(spark, str(tmp_path / "s.csv"), ["id", "word"]).collect()] == [("1", "")]
 
 
 def test_row_and_table_checks(spark, tmp_path):
-    costs = {"id": INT, "cost": INT, "power": INT}
-    each = skill(costs, each=[lambda r: r.power >= r.cost, lambda r: r.id > 0])
-    assert told(spark, tmp_path, each, "id,cost,power\n1,10,30\n2,50,20")[1] == [("row_validation_failed", 3, None, None, None, None)]
-    assert told(spark, tmp_path, each, "id,cost\n1,10")[1] == [("missing_column", None, None, None, None, None)]
-    over = skill({"id": INT, "cost": INT}, each=[lambda r: fs.div(F.lit(100), r.cost) >= 0])
-    assert told(spark, tmp_path, over, "id,cost\n1,5\n2,0")[1] == [("row_validation_failed", 3, None, None, None, None)]
+    costs = {"id": INT, "price": INT, "watts": INT}
+    each = lamp(costs, each=[lambda r: r.watts >= r.price, lambda r: r.id > 0])
+    assert told(spark, tmp_path, each, "id,price,watts\n1,10,30\n2,50,20")[1] == [("row_validation_failed", 3, None, None, None, None)]
+    assert told(spark, tmp_path, each, "id,price\n1,10")[1] == [("missing_column", None, None, None, None, None)]
+    over = lamp({"id": INT, "price": INT}, each=[lambda r: fs.div(F.lit(100), r.price) >= 0])
+    assert told(spark, tmp_path, over, "id,price\n1,5\n2,0")[1] == [("row_validation_failed", 3, None, None, None, None)]
     non_zero = refined("NonZero", INT, lambda x: x != 0)
-    assert told(spark, tmp_path, skill({"id": non_zero}, each=[lambda r: fs.div(F.lit(100), r.id) > 0]), "id\n5\n0")[1] == [("cell_refinement", 3, 1, "id", None, None)]
+    assert told(spark, tmp_path, lamp({"id": non_zero}, each=[lambda r: fs.div(F.lit(100), r.id) > 0]), "id\n5\n0")[1] == [("cell_refinement", 3, 1, "id", None, None)]
     for n, codes in ((3, []), (2, ["table_validation_failed"])):
-        assert [x[0] for x in told(spark, tmp_path, skill({"id": INT}, all=[lambda r, n=n: r.count() < n]), "id\n1\n2")[1]] == codes
+        assert [x[0] for x in told(spark, tmp_path, lamp({"id": INT}, all=[lambda r, n=n: r.count() < n]), "id\n1\n2")[1]] == codes
     table = typed(cards(spark).df, {"id": INT, "power": INT}, ("id",))
-    assert failed_table_checks(table, Master("C", {"id": INT, "power": INT}, ("id",), all=[lambda r: r.limit(1).count() == 1, lambda r: r.sum("power") == 55])) == [0]
+    asked = []
+    checks = [lambda r: r.limit(1).count() == 1, lambda r: asked.append(1) or (r.sum("power") == 55 and r.where(lambda c: c.power > 5).min("id") == 2), lambda r: r.count() == 3, lambda r: r.nothing, lambda r: 1 // (r.count() - 3) == 0]
+    assert failed_table_checks(table, Master("C", {"id": INT, "power": INT}, ("id",), all=checks)) == [0, 3, 4] and len(asked) == 3
     report(load(spark, over, str(tmp_path))[0][2], str(tmp_path / "out"))
     report(load(spark, over, str(tmp_path))[0][2], str(tmp_path / "text"), "text")
 
 
+def test_duplicates_of_tied_rows(spark):
+    df = spark.createDataFrame([(1, 1, 5), (1, 1, 6), (1, 2, 7), (2, 1, 8), (None, 1, 9), (None, 1, 9)], "k int, r int, x int")
+    fields = {"k": INT, "r": INT, "x": INT}
+    assert sorted(r._row for r in duplicates(typed(df, fields, ("r",)), ("k",), fields).collect()) == [1, 2]
+
+
 def test_declarations():
-    assert [e.code for e in Master("M", {}, ()).check()] == ["missing_row", "missing_primary"]
-    assert [e.code for e in Master("M", {"a": INT}, ("b", "b")).check()] == ["duplicate_primary_key", "primary_unknown_field", "primary_unknown_field"]
+    assert [e.code for e in Master("M", {}, ()).check()] == ["master_missing_row", "master_missing_primary"]
+    assert [e.code for e in Master("M", {"a": INT}, ("b", "b")).check()] == ["master_duplicate_primary_key", "master_primary_unknown_field", "master_primary_unknown_field"]
+    project = Project(Master("a.M", {"a": INT}, ("a",)), Master("b.M", {"a": INT}, ("a",)), Master("b.N", {"a": INT}, ("a",)))
+    assert project.check() == [] and project["N"].name == "b.N" and project["a.M"].name == "a.M"
+    with pytest.raises(KeyError):
+        project["M"]
     for path in ("/etc/x", "../x", "a/../../x", "c:x", "s3://x"):
         with pytest.raises(SpecError):
             confined("base", path)
@@ -188,7 +260,7 @@ def test_coercion(spark):
         return v if v is None or isinstance(v, bool | str) else int(v)
 
     wide = "9" * 38
-    for text, type, value in (("255", BYTE, 255), ("300", BYTE, None), ("-1", BYTE, None), ("99999999999", INT, None), ("99999999999", NINT, 99999999999), (wide, NINT, int(wide)), (wide + "9", NINT, None), ("18446744073709551615", ULONG, 2**64 - 1), (" 1", INT, None), ("1_0", INT, None), ("+7", INT, 7), ("000" + "0" * 40 + "12", INT, 12), ("maybe", BOOL, None), ("true", BOOL, True), ("rare", Rarity, 1), ("Rare", Rarity, None), ("", STRING, ""), (None, LONG, None)):
+    for text, type, value in (("255", BYTE, 255), ("300", BYTE, None), ("-1", BYTE, None), ("99999999999", INT, None), ("99999999999", NINT, 99999999999), (wide, NINT, int(wide)), (wide + "9", NINT, None), ("18446744073709551615", ULONG, 2**64 - 1), (" 1", INT, None), ("12\n", INT, None), ("\n12", INT, None), ("1_0", INT, None), ("+7", INT, 7), ("000" + "0" * 40 + "12", INT, 12), ("maybe", BOOL, None), ("true", BOOL, True), ("rare", Rarity, 1), ("Rare", Rarity, None), ("", STRING, ""), (None, LONG, None)):
         assert one(text, type) == value, (text, type.name)
 
 
@@ -221,7 +293,12 @@ def test_functions(spark):
 
 
 def test_stream(spark, tmp_path):
+    checks = Master("S", {"id": INT, "power": Level}, ("id",))
+    stream = lambda: check_stream(spark.readStream.schema("id int, power int").parquet(str(tmp_path / "in")), checks, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    codes = lambda n: sorted(r.code for r in spark.read.json(str(tmp_path / "out" / f"batch={n}")).collect())
     spark.createDataFrame([(1, 5), (1, -5)], "id int, power int").write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("id int, power int").parquet(str(tmp_path / "in"))
-    check_stream(stream, Master("S", {"id": INT, "power": Level}, ("id",)), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    assert sorted(r.code for r in spark.read.json(str(tmp_path / "out" / "batch=0")).collect()) == ["cell_refinement", "duplicate_primary_key"]
+    stream()
+    assert codes(0) == ["cell_refinement", "duplicate_primary_key"]
+    spark.createDataFrame([(1, 5), (2, 5)], "id int, power int").write.mode("append").parquet(str(tmp_path / "in"))
+    stream()
+    assert codes(1) == ["duplicate_primary_key"]
