@@ -203,13 +203,12 @@ def duplicates(table: DataFrame, primary: tuple[str, ...], fields: dict[str, Log
     keyed = table.filter(reduce(lambda a, b: a & b, [k.isNotNull() for k in key]))
     at = F.col(f"`{has.places}`.`{primary[0]}`")
     keyed = keyed.select(*key, F.col(has.row).alias("_at"), F.coalesce(at["line"], F.col(has.line)).alias("_l"), at["col"].alias("_c"))
-    first = keyed.groupBy(*key).agg(F.min(F.struct("_at", "_l")).alias("_f"), F.count("*").alias("_k")).filter("_k > 1")
-    joined = keyed.join(first, list(primary))
+    # Rows in one place are there only if the row key repeats; all but the first one of them are later.
+    placed = keyed.groupBy(*key, "_at").agg(F.count("*").alias("_n"), F.max("_l").alias("_l"), F.max("_c").alias("_c"))
+    first = placed.groupBy(*key).agg(F.min(F.struct("_at", "_l")).alias("_f"), F.sum("_n").alias("_k")).filter("_k > 1")
+    later = placed.join(first, list(primary)).withColumn("_n", F.when(F.col("_at") > F.col("_f._at"), F.col("_n")).otherwise(F.col("_n") - 1)).filter("_n > 0")
     out = [*key, F.col("_at").alias(has.row), F.col("_l").alias(has.line), F.col("_c").alias("col"), F.col("_f._l").alias("first")]
-    later = joined.filter("_at > _f._at").select(*out)
-    # Rows in the first one's own place are there only if the row key repeats; all but one of them are later.
-    tied = joined.filter("_at = _f._at").groupBy(*key, "_at", "_f").agg(F.count("*").alias("_n"), F.max("_l").alias("_l"), F.max("_c").alias("_c")).filter("_n > 1")
-    return later.union(tied.withColumn("_i", F.explode(F.sequence(F.lit(2).cast("bigint"), "_n"))).select(*out))
+    return later.select(*out, F.explode(F.sequence(F.lit(1).cast("bigint"), "_n")).alias("_i")).drop("_i")
 
 
 def _full(df: DataFrame, master: str, source: str, **columns: Column) -> DataFrame:
