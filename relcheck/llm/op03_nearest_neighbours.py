@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from .shared import column, pick, stored
 TRAINED_ON, ROUNDS = 20_000, 12
 #: Queries that `visit` is calibrated on, and the share of their neighbours to be found.
 SAMPLED, SHARE = 128, 0.95
-#: Entries to a cell, on average; centroids of a half.
+#: Entries to a cell, on average; centroids of a half: the work grows with more entries to a cell, no result changes.
 IN_CELL, CENTROIDS = 16, (2, 1024)
 #: Entries and queries that one task compares.
 ENTRIES, QUERIES = 1 << 16, 1 << 14
@@ -176,8 +177,8 @@ def _usable(vectors: DataFrame) -> DataFrame:
     v = pick(vectors, "vec_id", "embedding").filter("vec_id is not null and embedding is not null and size(embedding) > 0")
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     v = v.filter(fine & F.exists("embedding", lambda x: x != 0))
-    size = v.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return v.filter(F.size("embedding") == (size["d"] if size else 0))
+    # Zeros are one value for grouping: -0.0 equals 0.0.
+    return v.withColumn("embedding", F.transform("embedding", lambda x: x + F.lit(0.0).cast("float")))
 
 
 def nearest(vectors: DataFrame, queries: str = "vec_id % 20 = 0", *, top: int = 20, share: float = SHARE) -> DataFrame:
@@ -185,17 +186,27 @@ def nearest(vectors: DataFrame, queries: str = "vec_id % 20 = 0", *, top: int =
 
     vectors(vec_id long, embedding array<float>); nearness is the inner product in
     double precision, ties go to the smaller vec_id, ranks begin at 1. Null, zero or
-    non-finite vectors, those without vec_id, and those that don't have the commonest
-    number of components take no part. Rows that repeat a vec_id are candidates for
-    each other only if their vectors differ from the query's.
+    non-finite vectors and those without vec_id take no part. Vectors of different
+    lengths have no inner product: each length is a search of its own. Rows that
+    repeat a vec_id with the same vector are one row; with another vector they are
+    rows of their own, which are candidates for each other. An empty table, and one
+    without such queries, gives no rows; other columns aren't looked at.
     """
-    spark = vectors.sparkSession
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     usable = _usable(vectors)
-    # The commonest zero is one value for grouping: -0.0 equals 0.0.
-    usable = usable.withColumn("embedding", F.transform("embedding", lambda x: x + F.lit(0.0).cast("float")))
+    sizes = [r["d"] for r in usable.select(F.size("embedding").alias("d")).distinct().orderBy("d").collect()]
+    found = [_nearest(usable.filter(F.size("embedding") == d) if len(sizes) > 1 else usable, queries, top, share) for d in sizes]
+    return reduce(DataFrame.union, found) if found else _empty(vectors)
+
+
+def _empty(vectors: DataFrame) -> DataFrame:
+    return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+
+
+def _nearest(usable: DataFrame, queries: str, top: int, share: float) -> DataFrame:
+    spark = usable.sparkSession
+    empty = _empty(usable)
     smallest = Window.partitionBy("embedding").orderBy("vec_id")
-    few = usable.withColumn("n", F.row_number().over(smallest)).filter(F.col("n") <= top + 1)
+    few = usable.dropDuplicates(["embedding", "vec_id"]).withColumn("n", F.row_number().over(smallest)).filter(F.col("n") <= top + 1)
     grouped = stored(few.groupBy("embedding").agg(F.min("vec_id").alias("entry"), F.array_sort(F.collect_list("vec_id")).alias("ids")), "vectors")
     n = grouped.count()
     if not n:
@@ -243,11 +254,12 @@ def nearest(vectors: DataFrame, queries: str = "vec_id % 20 = 0", *, top: int =
 
     nearest_first = Window.partitionBy("query").orderBy(F.desc("score"), "entry")
     found = found.withColumn("n", F.row_number().over(nearest_first)).filter(F.col("n") <= top + 1)
-    found = found.join(entries.select("entry", "ids"), "entry").select(F.col("query").alias("entry"), "score", F.explode("ids").alias("vec_id"))
+    own = F.col("query") == F.col("entry")
+    found = found.join(entries.select("entry", "ids"), "entry").select(F.col("query").alias("entry"), "score", own.alias("own"), F.explode("ids").alias("vec_id"))
     in_order = Window.partitionBy("entry").orderBy(F.desc("score"), "vec_id")
-    found = found.withColumn("n", F.row_number().over(in_order)).filter(F.col("n") <= top + 1).groupBy("entry").agg(F.array_sort(F.collect_list(F.struct("n", "vec_id", "score"))).alias("all"))
-    # Without the query itself, the first `top` are left.
+    found = found.withColumn("n", F.row_number().over(in_order)).filter(F.col("n") <= top + 1).groupBy("entry").agg(F.array_sort(F.collect_list(F.struct("n", "vec_id", "score", "own"))).alias("all"))
+    # Without the query's own row, the first `top` are left.
     out = wanted.distinct().join(found, "entry")
-    out = out.select("query_id", F.slice(F.filter("all", lambda x: x["vec_id"] != F.col("query_id")), 1, top).alias("all"))
+    out = out.select("query_id", F.slice(F.filter("all", lambda x: ~x["own"] | (x["vec_id"] != F.col("query_id"))), 1, top).alias("all"))
     return out.select("query_id", F.posexplode("all").alias("rank", "x")).select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), "x.vec_id", "x.score")
 
