@@ -5,18 +5,23 @@ text. The smallest feasible shard capacity is found by binary search with a gree
 check, and the cuts are made there. The groups never reach the driver: the order
 is seen through ranges of hashes with their total sizes, and only ranges in which
 a cut may lie are split further, until those are single groups. The answer is the
-exact minimax of the groups, whatever their number. A group above the mean of what
-is left takes a shard of its own, and the rest is divided among the others.
+exact minimax of the groups, whatever their number.
+
+One group that is larger than the mean sets the capacity by itself, and would leave
+the other shards uneven. It takes a shard of its own, in its place in the order,
+and what lies before and behind it is partitioned by the same search, over all
+these sides together; shards stay runs of the order, and no shard grows larger.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_right
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import pick, stored
+from .shared import forget, pick, stored
 
 #: Bits of the hash that the first look tells apart, and each further one.
 FIRST, STEP, BITS = 12, 8, 64
@@ -31,28 +36,38 @@ def _greedy(ends: list[int], shards: int, capacity: int) -> list[int] | None:
     return cuts if at == n else None
 
 
-def smallest_capacity(sizes: list[int], shards: int) -> tuple[int, list[int]]:
-    """The least capacity that lets `shards` contiguous runs hold all sizes, and its greedy cuts."""
-    ends, total = [], 0
-    for s in sizes:
-        total += s
-        ends.append(total)
-    low, high = max([-(-total // shards), *sizes]), max(total, 0)
+def _ends(sizes: list[int]) -> list[int]:
+    return list(accumulate(sizes))
+
+
+def _needed(ends: list[int], capacity: int) -> int:
+    """How many runs of this capacity, no less than any size, hold all."""
+    runs = at = 0
+    while at < len(ends):
+        at = bisect_right(ends, (ends[at - 1] if at else 0) + capacity)
+        runs += 1
+    return runs
+
+
+def smallest_capacity(sides: list[list[int]], shards: int) -> tuple[int, list[list[int]]] | None:
+    """The least capacity that lets `shards` runs, none over two sides, hold all sizes, and each side's greedy cuts; None if sides are more than shards."""
+    sides = [s for s in sides]
+    ends, total = [_ends(s) for s in sides], sum(map(sum, sides))
+    if sum(map(bool, sides)) > shards:
+        return None
+    low, high = max([-(-total // shards) if shards else 0, *(x for s in sides for x in s)]), max(total, 0)
     while low < high:
         mid = (low + high) // 2
-        if _greedy(ends, shards, mid) is None:
+        if sum(_needed(e, mid) for e in ends) > shards:
             low = mid + 1
         else:
             high = mid
-    return low, _greedy(ends, shards, low) or [0] * shards
+    return low, [(_greedy(e, _needed(e, low), low) or [])[:-1] for e in ends]
 
 
 def _doubtful(sizes: list[int], low: int, high: int, shards: int) -> set[int]:
     """Segments in which a cut may lie for a capacity from low to high."""
-    ends, total = [], 0
-    for s in sizes:
-        total += s
-        ends.append(total)
+    ends, total = _ends(sizes), sum(sizes)
     out: set[int] = set()
     a = b = 0  # the least and the greatest place of the last cut, in bytes
     for _ in range(shards - 1):
@@ -88,15 +103,56 @@ class _Order:
         return bool(again)
 
 
-def cuts(groups: DataFrame, shards: int) -> tuple[list[int | None], int]:
-    """First hash of each run but the first one, and the capacity, for groups(h long, bytes long)."""
-    order = _Order(groups)
+def cuts(groups: DataFrame, shards: int, alone: tuple[int, ...] = ()) -> tuple[list[int], int] | None:
+    """First hash of each run but the first one, and the capacity, for groups(h long, bytes long).
+
+    The groups of alone, in order, are runs by themselves and not under the capacity.
+    None if there aren't enough shards for that.
+    """
+    h, bounds = F.col("h"), [None, *alone, None]
+    spans = [(a, b) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    sides = [_Order(groups.filter((h > a if a is not None else F.lit(True)) & (h < b if b is not None else F.lit(True)))) for a, b in spans]
+    left = shards - len(alone)
     while True:
-        sizes = [s[2] for s in order.segments]
-        high, found = smallest_capacity(sizes, shards)
-        low = max([-(-sum(sizes) // shards), *(s[4] for s in order.segments)])
-        if not order.split(_doubtful(sizes, low, high, shards)):
-            return [order.segments[i][0] if i < len(sizes) else None for i in found[:-1]], high
+        sizes = [[s[2] for s in o.segments] for o in sides]
+        found = smallest_capacity(sizes, left)
+        if found is None:
+            return None
+        high, at = found
+        low = max([-(-sum(map(sum, sizes)) // left) if left else 0, *(s[4] for o in sides for s in o.segments)])
+        if not any([o.split(_doubtful(s, low, high, left)) for o, s in zip(sides, sizes, strict=True)]):
+            break
+    firsts, began = [], False
+    for (before, _), order, places in zip(spans, sides, at, strict=True):
+        if before is not None:
+            firsts += [before] if began else []
+            began = True
+        if order.segments:
+            # What follows a group that is alone begins behind it.
+            firsts += [before + 1] if before is not None else []
+            firsts += [order.segments[i][0] for i in places]
+            began = True
+    return firsts, high
+
+
+def _places(groups: DataFrame, shards: int) -> tuple[list[int], int]:
+    """First hash of each run but the first one; the largest run's bytes.
+
+    Groups above the mean of what is left are taken alone as long as no run grows by it.
+    """
+    firsts, most = cuts(groups, shards)
+    alone: list[int] = []
+    while True:  # at most `shards` rounds
+        rest = groups.filter(~F.col("h").isin(alone)) if alone else groups
+        total, left = rest.agg(F.sum("bytes")).first()[0] or 0, shards - len(alone)
+        big = rest.filter(F.col("bytes") * left > total).orderBy(F.desc("bytes"), "h").limit(1).collect() if left > 1 else []
+        if not big:
+            return firsts, most
+        alone.append(big[0]["h"])
+        found = cuts(groups, shards, tuple(sorted(alone)))
+        if found is None or found[1] > most:
+            return firsts, most
+        firsts = found[0]
 
 
 def minimax_shards(docs: DataFrame, shards: int = 16) -> DataFrame:
@@ -105,7 +161,8 @@ def minimax_shards(docs: DataFrame, shards: int = 16) -> DataFrame:
     size is the text's bytes in UTF-8 plus 1; a null text counts none and its rows
     are a group of their own. Rows with equal texts share a shard; their order there
     is that of text hash and doc_id, and repeated rows have slots of their own.
-    Fewer groups than shards leave shards empty. grown_shard is null under this law.
+    Fewer groups than shards leave shards empty; an empty table gives no rows. Other
+    columns aren't looked at. grown_shard is null under this law.
     """
     rows = pick(docs, "doc_id", "text").select(
         "doc_id",
@@ -116,38 +173,17 @@ def minimax_shards(docs: DataFrame, shards: int = 16) -> DataFrame:
     # A row's place in its range partition is its rank there; kept, so that ranks are told once.
     rows = stored(rows.repartitionByRange("h", "doc_id", "size").sortWithinPartitions("h", "doc_id").withColumn("at", F.monotonically_increasing_id()), "shard_rows")
     groups = stored(rows.groupBy("h").agg(F.sum("size").alias("bytes")), "shard_groups")
+    firsts, _ = _places(groups, shards)
+    forget(groups)
 
-    alone: list[int] = []
-    while True:  # at most `shards` rounds, each with at most `shards` rows
-        rest = groups.filter(~F.col("h").isin(alone)) if alone else groups
-        total = rest.agg(F.sum("bytes")).first()[0] or 0
-        left = shards - len(alone)
-        big = [r["h"] for r in rest.filter(F.col("bytes") * left > total).orderBy(F.desc("bytes"), "h").limit(left).collect()] if left > 1 else []
-        if not big or len(alone) + len(big) >= shards:
-            break
-        alone += big
-    rest = groups.filter(~F.col("h").isin(alone)) if alone else groups
-    first, _ = cuts(rest, left)
-
-    shard = F.lit(len(alone))
-    for f in first:
-        if f is not None:
-            shard = shard + F.when(F.col("h") >= F.lit(f), 1).otherwise(0)
-    for i, h in enumerate(alone):
-        shard = F.when(F.col("h") == h, i).otherwise(shard)
+    shard = F.lit(0)
+    for f in firsts:
+        shard = shard + F.when(F.col("h") >= F.lit(f), 1).otherwise(0)
     placed = rows.withColumn("shard", shard.cast("int")).withColumn("part", F.shiftright("at", 33))
-
-    # The rows of a shard in a partition need not be one run: groups of their own interrupt it.
-    runs = placed.withColumn("owned", F.col("h").isin(alone) if alone else F.lit(False))
-    parts = runs.groupBy("shard", "part").agg(F.min("at").alias("least"), F.count("*").alias("n"))
-    interrupted = runs.filter("owned").groupBy("h", "part").agg(F.min("at").alias("from"), F.count("*").alias("skip")) if alone else None
+    # A shard is one run of the order, and so is what each partition has of it.
+    parts = placed.groupBy("shard", "part").agg(F.min("at").alias("least"), F.count("*").alias("n"))
     w = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))
-    out = runs.join(parts.select("shard", "part", "least", "before"), ["shard", "part"])
+    out = placed.join(parts.select("shard", "part", "least", "before"), ["shard", "part"])
     slot = F.col("before") + F.col("at") - F.col("least")
-    if interrupted is not None:
-        skips = interrupted.groupBy("part").agg(F.collect_list(F.struct("from", "skip")).alias("skips"))  # at most `shards` entries
-        out = out.join(skips, "part", "left")
-        gaps = F.aggregate(F.filter(F.coalesce("skips", F.array()), lambda s: (s["from"] > F.col("least")) & (s["from"] < F.col("at"))), F.lit(0).cast("long"), lambda a, s: a + s["skip"])
-        slot = slot - F.when(F.col("owned"), 0).otherwise(gaps)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", slot.cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
