@@ -19,8 +19,9 @@ Reply order puts each message behind the one it answers: an answer stands in the
 place of the message at the root of its thread, then come the depth in the thread
 and the turn. Roots are found by doubling the distance looked back in each round.
 All joins are on keys that aggregation has made unique on one side, and positions
-are counted in two levels, so neither a common line nor a long conversation is
-gathered in a task.
+are counted in two levels: in ranges of the whole order, and over the ranges that a
+conversation has rows in. So neither a common line nor a long conversation or thread
+is gathered in a task.
 """
 
 from __future__ import annotations
@@ -28,10 +29,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import forget, stored
 
-#: Turns whose positions are counted together.
-BLOCK = 1024
 #: Words that are no chance find within a text; also those by which places in texts are found.
 LEAST = 5
 
@@ -115,8 +114,8 @@ def passage_links(messages: DataFrame) -> DataFrame:
     near = near.select("conv_id", "turn", "own", "passage", "level", F.when(here, F.col("conv_id")).otherwise(F.col("there.conv_id")).alias("from_conv"), F.when(here, F.col("here")).otherwise(F.col("there.from_turn")).alias("from_turn"))
     votes = near.filter("from_conv is not null").groupBy("conv_id", "turn", "own", "passage", "level", "from_conv", "from_turn").agg(F.count("*").alias("n_lines"))
     # Most lines first; of equals one of the same conversation, then the earliest.
-    rank = F.struct("n_lines", (F.col("from_conv") == F.col("conv_id")).alias("same"), (-F.col("from_conv")).alias("c"), (-F.col("from_turn")).alias("t"))
-    best = votes.groupBy("conv_id", "turn", "own", "passage", "level").agg(F.max(F.struct(rank.alias("rank"), "from_conv", "from_turn", "n_lines")).alias("b"))
+    rank = F.struct((-F.col("n_lines")).alias("fewer"), (F.col("from_conv") != F.col("conv_id")).alias("elsewhere"), "from_conv", "from_turn", "n_lines")
+    best = votes.groupBy("conv_id", "turn", "own", "passage", "level").agg(F.min(rank).alias("b"))
     return best.select("conv_id", "turn", "passage", "level", "b.from_conv", "b.from_turn", "b.n_lines")
 
 
@@ -128,7 +127,9 @@ def _roots(answers: DataFrame) -> DataFrame:
         if at.join(up, ["conv_id", "root_turn"], "left_semi").isEmpty():
             return at
         joined = at.join(up, ["conv_id", "root_turn"], "left")
-        at = stored(joined.select("conv_id", "turn", F.coalesce("next", "root_turn").alias("root_turn"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")), "roots")
+        after = stored(joined.select("conv_id", "turn", F.coalesce("next", "root_turn").alias("root_turn"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")), "roots")
+        forget(at)
+        at = after
 
 
 def reply_ordered(conversations: DataFrame) -> DataFrame:
@@ -141,7 +142,8 @@ def reply_ordered(conversations: DataFrame) -> DataFrame:
     a conversation's messages in reply order from 0. formatted is role and body in
     chat form. Repeated (conv_id, turn) are one message as far as links go, and have
     positions of their own. Messages without conv_id or turn link to nothing; those
-    without conv_id are ordered together, those without turn come first.
+    without conv_id are ordered together, those without turn come first. An empty
+    table gives no rows; texts may be of any length; other columns aren't looked at.
     """
     messages = conversations.select(*[conversations[c] for c in ("conv_id", "turn", "role")], F.coalesce(conversations["text"], F.lit("")).alias("text"))
     links = passage_links(messages.filter("conv_id is not null and turn is not null").select("conv_id", "turn", "text"))
@@ -156,12 +158,13 @@ def reply_ordered(conversations: DataFrame) -> DataFrame:
     body = F.when(quoting, F.regexp_replace(kept, r"^\s*\n|\n\s*$", "")).otherwise(F.col("text"))
     rows = messages.select("conv_id", "turn", "role", body.alias("body")).join(threads, ["conv_id", "turn"], "left")
     rows = rows.withColumn("root", F.coalesce("root_turn", "turn")).withColumn("depth", F.coalesce("depth", F.lit(0)))
-    rows = rows.withColumn("block", F.coalesce(F.floor(F.col("root") / BLOCK), F.lit(-(1 << 62))))
-    earlier = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = rows.groupBy("conv_id", "block").agg(F.count("*").alias("n"))
-    blocks = blocks.select(F.col("conv_id").alias("c"), F.col("block").alias("b"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    own = Window.partitionBy("conv_id", "block").orderBy("root", "depth", "turn", "role", "body")
-    rows = rows.withColumn("nth", F.row_number().over(own) - 1)
-    rows = rows.join(blocks, rows["conv_id"].eqNullSafe(blocks["c"]) & (rows["block"] == blocks["b"]))
+    order = ["conv_id", "root", "depth", "turn", "role"]
+    # Bodies only tell rows apart that are equal in all else; their beginnings do to deal them out.
+    dealt = rows.withColumn("_begin", F.substring("body", 1, 64)).repartitionByRange(*order, "_begin").sortWithinPartitions(*order, "body").drop("_begin")
+    dealt = stored(dealt.withColumn("at", F.monotonically_increasing_id()), "ordered").withColumn("part", F.shiftright("at", 33))
+    earlier = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = dealt.groupBy("conv_id", "part").agg(F.min("at").alias("least"), F.count("*").alias("n"))
+    parts = parts.select(F.col("conv_id").alias("c"), F.col("part").alias("p"), "least", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    dealt = dealt.join(parts, dealt["conv_id"].eqNullSafe(parts["c"]) & (dealt["part"] == parts["p"]))
     text = F.concat(F.lit("<|"), F.coalesce("role", F.lit("")), F.lit("|>\n"), F.col("body"))
-    return rows.select("conv_id", "turn", "role", "body", "parent_turn", "depth", (F.col("before") + F.col("nth")).alias("position"), text.alias("formatted"))
+    return dealt.select("conv_id", "turn", "role", "body", "parent_turn", "depth", (F.col("before") + F.col("at") - F.col("least")).alias("position"), text.alias("formatted"))

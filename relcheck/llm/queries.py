@@ -98,33 +98,48 @@ WITH d AS ({_shingles("documents", "doc_id", 5)}), i AS ({_shingles("benchmark",
 de AS (SELECT doc_id, unnest(s) AS x FROM d), ie AS (SELECT item_id, len(s) AS n_item, unnest(s) AS x FROM i)
 SELECT doc_id, item_id, CAST(count(*) AS BIGINT) AS n_shared, CAST(any_value(n_item) AS BIGINT) AS n_item
 FROM de JOIN ie ON de.x = ie.x GROUP BY doc_id, item_id HAVING 100 * count(*) >= 80 * any_value(n_item)""",
-    "op8_quotation_linking": """
-WITH RECURSIVE lines AS MATERIALIZED (
-    SELECT conv_id, turn, md5(text) AS own, u.pos, regexp_extract(u.line, '^[ \\t>]*') AS mark,
-        lower(trim(regexp_replace(regexp_replace(u.line, '^[ \\t]*>[ \\t>]*', ''), '\\s+', ' ', 'g'))) AS words
-    FROM (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations),
-        LATERAL (SELECT unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos) u),
+    "op8_quotation_linking": r"""
+WITH RECURSIVE messages AS MATERIALIZED (SELECT DISTINCT conv_id, turn, md5(text) AS own, text FROM (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations) WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+lines AS MATERIALIZED (
+    SELECT conv_id, turn, own, u.pos, regexp_extract(u.line, '^[ \t>]*') AS mark,
+        lower(trim(regexp_replace(regexp_replace(u.line, '^[ \t]*>[ \t>]*', ''), '\s+', ' ', 'g'))) AS words
+    FROM messages, LATERAL (SELECT unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos) u),
 leveled AS MATERIALIZED (SELECT *, len(mark) - len(replace(mark, '>', '')) AS level FROM lines),
 marked AS (SELECT *, CASE WHEN level <> coalesce(lag(level) OVER m, -1) THEN 1 ELSE 0 END AS new FROM leveled WINDOW m AS (PARTITION BY conv_id, turn, own ORDER BY pos)),
-quoted AS (SELECT * FROM (SELECT *, sum(new) OVER (PARTITION BY conv_id, turn, own ORDER BY pos) AS passage FROM marked) WHERE level > 0 AND words <> ''),
-firsts AS (SELECT conv_id, words, min(turn) AS from_turn FROM leveled WHERE level = 0 AND words <> '' GROUP BY ALL),
-votes AS (SELECT q.conv_id, q.turn, q.own, q.passage, q.level, f.from_turn, count(*) AS n FROM quoted q JOIN firsts f ON q.conv_id = f.conv_id AND q.words = f.words AND f.from_turn < q.turn GROUP BY ALL),
-elsewhere AS (SELECT q.conv_id, q.turn, q.own, q.passage, q.level, o.c, o.t, count(*) AS n
-    FROM quoted q LEFT JOIN firsts f ON q.conv_id = f.conv_id AND q.words = f.words AND f.from_turn < q.turn
-    JOIN (SELECT words, min((conv_id, from_turn))[1] AS c, min((conv_id, from_turn))[2] AS t FROM firsts GROUP BY words) o ON o.words = q.words
-    WHERE f.words IS NULL AND o.c <> q.conv_id GROUP BY ALL),
-best AS (SELECT v.*, row_number() OVER (PARTITION BY v.conv_id, v.turn, v.own, v.passage ORDER BY v.n DESC, v.from_turn) AS r FROM votes v),
-won AS (SELECT b.* FROM best b WHERE r = 1 AND NOT EXISTS (SELECT 1 FROM elsewhere e WHERE e.conv_id = b.conv_id AND e.turn = b.turn AND e.own = b.own AND e.passage = b.passage AND e.n > b.n)),
+quoted AS MATERIALIZED (SELECT conv_id, turn, own, passage, part, level, pos, words FROM (
+    SELECT *, sum(new) OVER (PARTITION BY conv_id, turn, own ORDER BY pos) AS passage, sum(CAST(words = '' AS INT)) OVER (PARTITION BY conv_id, turn, own ORDER BY pos) AS part FROM marked) WHERE level > 0 AND words <> ''),
+line_firsts AS (SELECT conv_id, words, min(turn) AS from_turn FROM leveled WHERE level = 0 AND words <> '' GROUP BY ALL),
+line_any AS (SELECT words, min({'c': conv_id, 't': from_turn}) AS any_ FROM line_firsts GROUP BY words),
+runs AS (SELECT conv_id, turn, own, passage, part, string_agg(words, ' ' ORDER BY pos) AS words, count(*) AS n FROM quoted GROUP BY ALL
+    UNION ALL SELECT conv_id, turn, own, passage, NULL, string_agg(words, ' ' ORDER BY pos), count(*) FROM quoted GROUP BY conv_id, turn, own, passage),
+blocks AS MATERIALIZED (SELECT conv_id, turn, block FROM (SELECT conv_id, turn, unnest(string_split_regex(text, '(?m)^[ \t]*>.*$')) AS block FROM messages) WHERE regexp_matches(block, '\S')),
+folded AS MATERIALIZED (SELECT DISTINCT conv_id, turn, lower(trim(regexp_replace(block, '\s+', ' ', 'g'))) AS words FROM blocks),
+wholes AS (SELECT conv_id, words, min(turn) AS from_turn FROM (SELECT * FROM folded UNION ALL
+    SELECT conv_id, turn, lower(trim(regexp_replace(unnest(string_split_regex(block, '\n\s*\n')), '\s+', ' ', 'g'))) FROM blocks) GROUP BY conv_id, words),
+whole_any AS (SELECT words, min({'c': conv_id, 't': from_turn}) AS any_ FROM wholes GROUP BY words),
+held AS (SELECT r.conv_id, r.words, min(f.turn) AS from_turn FROM (SELECT DISTINCT conv_id, words FROM runs WHERE n > 1 OR len(string_split(words, ' ')) >= 5) r
+    JOIN folded f ON f.conv_id = r.conv_id AND contains(' ' || f.words || ' ', ' ' || r.words || ' ') GROUP BY ALL),
+nearest AS (SELECT conv_id, words, min(from_turn) AS from_turn FROM (SELECT * FROM wholes UNION ALL SELECT * FROM held) GROUP BY ALL),
+run_found AS (SELECT r.conv_id, r.turn, r.own, r.passage, r.part, CASE WHEN n.from_turn < r.turn THEN n.from_turn END AS here, CASE WHEN a.any_.c <> r.conv_id THEN a.any_ END AS there
+    FROM runs r LEFT JOIN nearest n ON n.conv_id = r.conv_id AND n.words = r.words LEFT JOIN whole_any a ON a.words = r.words),
+line_found AS (SELECT q.*, coalesce(w.here, p.here, CASE WHEN l.from_turn < q.turn THEN l.from_turn END) AS here, coalesce(w.there, p.there, CASE WHEN a.any_.c <> q.conv_id THEN a.any_ END) AS there
+    FROM quoted q LEFT JOIN line_firsts l ON l.conv_id = q.conv_id AND l.words = q.words LEFT JOIN line_any a ON a.words = q.words
+    LEFT JOIN run_found w ON w.part IS NULL AND w.conv_id = q.conv_id AND w.turn = q.turn AND w.own = q.own AND w.passage = q.passage
+    LEFT JOIN run_found p ON p.part = q.part AND p.conv_id = q.conv_id AND p.turn = q.turn AND p.own = q.own AND p.passage = q.passage),
+votes AS (SELECT conv_id, turn, own, passage, level, from_conv, from_turn, count(*) AS n FROM (
+    SELECT *, CASE WHEN here IS NOT NULL THEN conv_id ELSE there.c END AS from_conv, CASE WHEN here IS NOT NULL THEN here ELSE there.t END AS from_turn FROM line_found) WHERE from_conv IS NOT NULL GROUP BY ALL),
+best AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, own, passage ORDER BY n DESC, from_conv <> conv_id, from_conv, from_turn) AS r FROM votes),
+won AS (SELECT * FROM best WHERE r = 1 AND from_conv = conv_id),
 answers AS (SELECT conv_id, turn, from_turn AS parent_turn FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, n DESC, from_turn) AS k FROM won) WHERE k = 1),
 up(conv_id, turn, place, depth) AS (SELECT conv_id, turn, parent_turn, 1 FROM answers UNION ALL SELECT u.conv_id, u.turn, a.parent_turn, u.depth + 1 FROM up u JOIN answers a ON a.conv_id = u.conv_id AND a.turn = u.place),
 roots AS (SELECT conv_id, turn, min(place) AS root, max(depth) AS depth FROM up GROUP BY ALL),
-bodies AS (SELECT c.conv_id, c.turn, c.role, CASE WHEN regexp_matches(coalesce(text, ''), '(?m)^[ \\t]*>')
-        THEN regexp_replace(array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT contains(regexp_extract(x, '^[ \\t>]*'), '>')), chr(10)), '^\\s*\\n|\\n\\s*$', '', 'g')
+bodies AS (SELECT c.conv_id, c.turn, c.role, CASE WHEN regexp_matches(coalesce(text, ''), '(?m)^[ \t]*>')
+        THEN regexp_replace(array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT contains(regexp_extract(x, '^[ \t>]*'), '>')), chr(10)), '^\s*\n|\n\s*$', '', 'g')
         ELSE coalesce(text, '') END AS body FROM conversations c),
 rows_ AS (SELECT b.*, a.parent_turn, coalesce(r.root, b.turn) AS root, coalesce(r.depth, 0) AS depth
     FROM bodies b LEFT JOIN answers a ON a.conv_id = b.conv_id AND a.turn = b.turn LEFT JOIN roots r ON r.conv_id = b.conv_id AND r.turn = b.turn)
 SELECT conv_id, turn, parent_turn, CAST(depth AS BIGINT) AS depth,
-    row_number() OVER (PARTITION BY conv_id ORDER BY root, depth, turn, role, body) - 1 AS position,
+    row_number() OVER (PARTITION BY conv_id ORDER BY root NULLS FIRST, depth, turn NULLS FIRST, role NULLS FIRST, body) - 1 AS position,
     md5('<|' || coalesce(role, '') || '|>' || chr(10) || body) AS formatted_md5
 FROM rows_""",
     "op10_line_dedup": """
