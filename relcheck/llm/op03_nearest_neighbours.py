@@ -10,7 +10,7 @@ neighbours are found by brute force over all vectors, and `visit` is the number
 entries that would have been seen before all but the allowed share of them, but at
 least as many as a whole result takes.
 
-Equal vectors are one entry that keeps only as many of its smallest ids as a
+Equal vectors are one entry, which keeps only as many of its smallest ids as a
 result can hold, and equal queries are searched once; so a vector with very many
 copies costs no more than another.
 """
@@ -146,12 +146,10 @@ def _probes(books: Codebooks, count: np.ndarray, visit: int, regions: int, block
 
 def _rerank(dim: int, top: int, n_cells: int):
     def run(queries: pa.Table, entries: pa.Table) -> pa.Table:
-        q, e, score = [], [], []
+        q, e, least, score = [], [], [], []
         if queries.num_rows and entries.num_rows:
             x = _matrix(entries.column("embedding"), dim).astype(np.float64)
-            cell, entry = entries.column("cell").to_numpy(), entries.column("entry").to_numpy()
-            order = np.argsort(entry)
-            x, cell, entry = x[order], cell[order], entry[order]
+            cell, entry, low = (entries.column(c).to_numpy() for c in ("cell", "entry", "least"))
             ids = queries.column("query").to_numpy()
             for i in range(0, len(ids), 256):
                 some = queries.slice(i, 256)
@@ -166,9 +164,10 @@ def _rerank(dim: int, top: int, n_cells: int):
                 row, at = np.nonzero((about >= (cut - 1e-9 * (1 + abs(cut)))[:, None]) & np.isfinite(about))
                 q.append(ids[i : i + 256][row])
                 e.append(entry[at])
+                least.append(low[at])
                 score.append((y[row] * x[at]).sum(1))
         join = lambda parts, t: pa.array(np.concatenate(parts) if parts else [], t)
-        return pa.table({"query": join(q, pa.int64()), "entry": join(e, pa.int64()), "score": join(score, pa.float64())})
+        return pa.table({"query": join(q, pa.int64()), "entry": join(e, pa.int64()), "least": join(least, pa.int64()), "score": join(score, pa.float64())})
 
     return run
 
@@ -207,23 +206,24 @@ def _nearest(usable: DataFrame, queries: str, top: int, share: float) -> DataFra
     empty = _empty(usable)
     smallest = Window.partitionBy("embedding").orderBy("vec_id")
     few = usable.dropDuplicates(["embedding", "vec_id"]).withColumn("n", F.row_number().over(smallest)).filter(F.col("n") <= top + 1)
-    grouped = stored(few.groupBy("embedding").agg(F.min("vec_id").alias("entry"), F.array_sort(F.collect_list("vec_id")).alias("ids")), "vectors")
+    grouped = few.groupBy("embedding").agg(F.min("vec_id").alias("least"), F.array_sort(F.collect_list("vec_id")).alias("ids"))
+    grouped = stored(grouped.withColumn("entry", F.monotonically_increasing_id()), "vectors")  # as written, it stays the same
     n = grouped.count()
     if not n:
         return empty
-    sample = grouped.orderBy(F.xxhash64("entry"), "entry").limit(TRAINED_ON).select("embedding").toArrow().column("embedding")
+    sample = grouped.orderBy(F.xxhash64("embedding"), "least").limit(TRAINED_ON).select("embedding").toArrow().column("embedding")
     dim = len(sample[0])
     sample = _matrix(sample, dim).astype(np.float64)
     k = int(np.clip(np.ceil(np.sqrt(n / IN_CELL)), *CENTROIDS))
     books = Codebooks(sample, k)
-    entries = stored(grouped.select("entry", "ids", "embedding").mapInArrow(_coded(books, dim), "entry long, ids array<long>, embedding array<float>, cell int"), "entries")
+    entries = stored(grouped.select("entry", "least", "ids", "embedding").mapInArrow(_coded(books, dim), "entry long, least long, ids array<long>, embedding array<float>, cell int"), "entries")
     count = np.zeros(k * k, dtype=np.int64)
     for row in entries.groupBy("cell").count().collect():  # CENTROIDS squared at most
         count[row["cell"]] = row["count"]
 
     wanted = stored(usable.filter(queries).select(F.col("vec_id").alias("query_id"), "embedding").join(grouped.select("embedding", "entry"), "embedding").select("query_id", "entry"), "queries")
     asked = entries.join(wanted.select("entry").distinct(), "entry", "left_semi")
-    trial = asked.select("entry", "embedding").orderBy(F.xxhash64("entry"), "entry").limit(SAMPLED).toArrow()
+    trial = asked.orderBy(F.xxhash64("embedding"), "least").limit(SAMPLED).select("entry", "embedding").toArrow()
     if not trial.num_rows:
         return empty
     own, y = trial.column("entry").to_numpy(), _matrix(trial.column("embedding"), dim).astype(np.float64)
@@ -246,13 +246,13 @@ def _nearest(usable: DataFrame, queries: str, top: int, share: float) -> DataFra
     query_blocks = -(-asked.count() // QUERIES)
     schema = "region int, block int, part int, query long, vector array<float>, cells array<int>"
     probes = asked.select("entry", "embedding").repartition(max(8, spark.sparkContext.defaultParallelism)).mapInArrow(_probes(books, count, visit, regions, blocks, query_blocks, dim), schema)
-    placed = entries.select("entry", "embedding", "cell").withColumn("region", (F.floor(F.col("cell") / k) % regions).cast("int"))
+    placed = entries.select("entry", "least", "embedding", "cell").withColumn("region", (F.floor(F.col("cell") / k) % regions).cast("int"))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("entry"), F.element_at(F.lit(blocks), F.col("region") + 1)).cast("int"))
     placed = placed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
     on = ["region", "block", "part"]
-    found = probes.groupBy(on).cogroup(placed.groupBy(on)).applyInArrow(_rerank(dim, top, k * k), "query long, entry long, score double")
+    found = probes.groupBy(on).cogroup(placed.groupBy(on)).applyInArrow(_rerank(dim, top, k * k), "query long, entry long, least long, score double")
 
-    nearest_first = Window.partitionBy("query").orderBy(F.desc("score"), "entry")
+    nearest_first = Window.partitionBy("query").orderBy(F.desc("score"), "least")
     found = found.withColumn("n", F.row_number().over(nearest_first)).filter(F.col("n") <= top + 1)
     own = F.col("query") == F.col("entry")
     found = found.join(entries.select("entry", "ids"), "entry").select(F.col("query").alias("entry"), "score", own.alias("own"), F.explode("ids").alias("vec_id"))
