@@ -103,25 +103,34 @@ class _Order:
         return bool(again)
 
 
+def _searched(sides: list[_Order], shards: int) -> tuple[int, list[list[int]]] | None:
+    """The exact answer of smallest_capacity for the groups behind the segments, which are split as far as it takes."""
+    while True:
+        sizes = [[s[2] for s in o.segments] for o in sides]
+        found = smallest_capacity(sizes, shards)
+        if found is None:
+            return None
+        low = max([-(-sum(map(sum, sizes)) // shards) if shards else 0, *(s[4] for o in sides for s in o.segments)])
+        if not any([o.split(_doubtful(s, low, found[0], shards)) for o, s in zip(sides, sizes, strict=True)]):
+            return found
+
+
 def cuts(groups: DataFrame, shards: int, alone: tuple[int, ...] = ()) -> tuple[list[int], int] | None:
     """First hash of each run but the first one, and the capacity, for groups(h long, bytes long).
 
-    The groups of alone, in order, are runs by themselves and not under the capacity.
+    The groups of alone, in order, are runs by themselves and not under the capacity;
+    each side of them is then cut for the least capacity of its own number of runs.
     None if there aren't enough shards for that.
     """
     h, bounds = F.col("h"), [None, *alone, None]
-    spans = [(a, b) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    spans = list(zip(bounds[:-1], bounds[1:], strict=True))
     sides = [_Order(groups.filter((h > a if a is not None else F.lit(True)) & (h < b if b is not None else F.lit(True)))) for a, b in spans]
-    left = shards - len(alone)
-    while True:
-        sizes = [[s[2] for s in o.segments] for o in sides]
-        found = smallest_capacity(sizes, left)
-        if found is None:
-            return None
-        high, at = found
-        low = max([-(-sum(map(sum, sizes)) // left) if left else 0, *(s[4] for o in sides for s in o.segments)])
-        if not any([o.split(_doubtful(s, low, high, left)) for o, s in zip(sides, sizes, strict=True)]):
-            break
+    found = _searched(sides, shards - len(alone))
+    if found is None:
+        return None
+    high, at = found
+    if alone:
+        at = [_searched([o], len(places) + 1)[1][0] if o.segments else [] for o, places in zip(sides, at, strict=True)]
     firsts, began = [], False
     for (before, _), order, places in zip(spans, sides, at, strict=True):
         if before is not None:
