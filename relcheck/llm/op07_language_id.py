@@ -29,6 +29,9 @@ SMOOTH = 0.5
 ROUNDS, SET_ROUNDS = 12, 10
 PENALTY = 4.0
 UNKNOWN = "und"
+#: Languages that a model may have: its size, which is sent to all tasks, is bounded by that. More labels are an error, as
+#: a column with so many doesn't hold languages.
+MOST_LANGUAGES = 512
 
 
 @cache
@@ -132,8 +135,13 @@ def _infer(log: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
 def learn(docs: DataFrame) -> Model:
     """Count the trigrams of all docs(text string, lang string); rows with a null text or lang teach nothing.
 
-    What comes to the driver is a table of languages x BUCKETS at most.
+    What comes to the driver is a table of MOST_LANGUAGES x BUCKETS at most; with more
+    labels than that, ValueError. Repeated rows count as often as they occur; an
+    empty table gives a model without languages.
     """
+    labels = pick(docs, "lang").filter("lang is not null").distinct().limit(MOST_LANGUAGES + 1).count()
+    if labels > MOST_LANGUAGES:
+        raise ValueError(f"lang has more than {MOST_LANGUAGES} values")
     seen = pick(docs, "text", "lang").filter("text is not null and lang is not null").mapInArrow(_counts, "lang string, bucket int, n long")
     counts: dict[str, np.ndarray] = {}
     for row in seen.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect():
@@ -161,7 +169,9 @@ def languages(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)
     lang_pred is the language of the greatest proportion, `und` for texts that are
     null or have no letter, or if the model has no languages; score is its
     proportion, 0 for `und`; mixture maps the selected languages to proportions.
-    Ties go to the language that comes first in order. Other columns aren't looked at.
+    Ties go to the language that comes first in order. Repeated rows give repeated
+    results, an empty table none; texts may be of any length. Other columns, whatever
+    their names, aren't looked at.
     """
     keep = tuple(keep)
     docs = pick(docs, *dict.fromkeys([*keep, "text"]))
