@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import column, forget, pick, pieces, stored
@@ -38,17 +38,22 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, texts in pieces(batches, "text"):
         seen = [np.unique(h[full]) for _, h, full in map(_hashes, texts)]
         owner = pa.array(np.repeat(np.arange(len(seen)), [len(x) for x in seen]))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(seen), pa.int64()), column(rows, "site").take(owner), column(rows, "doc_id").take(owner)], names=["h", "site", "doc_id"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(seen), pa.int64()), *(column(rows, c).take(owner) for c in ("site", "doc_id", "unnamed"))], names=["h", "site", "doc_id", "unnamed"])
+
+
+def _unnamed() -> Column:
+    return F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
 
 
 def spread_lines(docs: DataFrame, min_sites: int) -> tuple[DataFrame, DataFrame]:
-    """(h, first) of the lines on min_sites sites or more, and the lines(h, site, doc_id) behind them.
+    """(h, first) of the lines on min_sites sites or more, and the lines(h, site, doc_id, unnamed) behind them.
 
-    first is the smallest doc_id with the line. A null site is no site.
+    first is the smallest doc_id with the line; unnamed is a hash of the text of a
+    document without one. A null site is no site.
     """
     seen = docs.select("doc_id", "text", F.xxhash64("source").alias("site"), F.col("source").isNull().alias("nowhere"))
-    seen = seen.select("doc_id", "text", F.when(~F.col("nowhere"), F.col("site")).alias("site"))
-    seen = stored(seen.mapInArrow(_lines, "h long, site long, doc_id long"), "lines")
+    seen = seen.select("doc_id", "text", F.when(~F.col("nowhere"), F.col("site")).alias("site"), _unnamed().alias("unnamed"))
+    seen = stored(seen.mapInArrow(_lines, "h long, site long, doc_id long, unnamed long"), "lines")
     sketches = seen.groupBy("h").agg(F.hll_sketch_agg("site", F.lit(LG_K)).alias("sites"), F.min("doc_id").alias("first"))
     error = min_sites * ERRORS * 1.04 / 2 ** (LG_K / 2)
     about = stored(sketches.select("h", "first", F.hll_sketch_estimate("sites").alias("n")).filter(F.col("n") >= min_sites - error), "spread")
@@ -56,7 +61,9 @@ def spread_lines(docs: DataFrame, min_sites: int) -> tuple[DataFrame, DataFrame]
     sure = about.filter(F.col("n") >= min_sites + error).select("h", "first")
     exact = seen.filter("site is not null").join(near.select("h"), "h", "left_semi").select("h", "site").distinct().groupBy("h").count()
     exact = near.join(exact.filter(F.col("count") >= min_sites), "h").select("h", "first")
-    return stored(sure.union(exact), "boilerplate"), seen
+    boilerplate = stored(sure.union(exact), "boilerplate")
+    forget(about)
+    return boilerplate, seen
 
 
 def _clean(hashes: np.ndarray | None, first: np.ndarray | None, names: list[str]):
@@ -91,7 +98,12 @@ def remove_spread_lines(docs: DataFrame, *, min_sites: int = 10, sent: int = SEN
     docs has doc_id long, text string and source (the site). Lines are what stands
     between line feeds, compared without blanks, tabs and carriage returns at their
     ends; blank ones always stay. A null text stays null and has no lines; an empty
-    one has one blank line. Of rows that repeat the first doc_id all keep the line.
+    one has one blank line. Of rows that repeat the first doc_id all keep the line;
+    rows without a doc_id don't. An empty table gives no rows; texts may be of any
+    length; other columns, whatever their names, aren't looked at.
+
+    Up to `sent` boilerplate lines are sent to all tasks; more are joined to their
+    documents, with the same result.
     """
     docs = pick(docs, *dict.fromkeys([*columns, "doc_id", "text", "source"]))
     boilerplate, seen = spread_lines(docs, min_sites)
@@ -99,9 +111,12 @@ def remove_spread_lines(docs: DataFrame, *, min_sites: int = 10, sent: int = SEN
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema) + ", n_lines long, n_removed long"
     if boilerplate.count() <= sent:
         table = boilerplate.toArrow().sort_by("h")
+        for used in (seen, boilerplate):  # nothing below reads them
+            forget(used)
         least = np.iinfo(np.int64).min
         return docs.mapInArrow(_clean(table.column("h").to_numpy(), table.column("first").fill_null(least).to_numpy(), names), schema)
-    drop = seen.join(boilerplate, "h").filter("first is null or doc_id is null or first <> doc_id").groupBy("doc_id").agg(F.collect_set("h").alias("_drop"))
-    docs = docs.withColumn("_key", F.coalesce("doc_id", F.lit(0))).withColumn("_no_id", F.col("doc_id").isNull())
-    drop = drop.select(F.coalesce("doc_id", F.lit(0)).alias("_key"), F.col("doc_id").isNull().alias("_no_id"), "_drop")
-    return docs.join(drop, ["_key", "_no_id"], "left").drop("_key", "_no_id").mapInArrow(_clean(None, None, names), schema)
+    drop = seen.join(boilerplate, "h").filter("first is null or doc_id is null or first <> doc_id").groupBy("doc_id", "unnamed").agg(F.collect_set("h").alias("_drop"))
+    drop = drop.select(F.col("doc_id").alias("_doc_id"), F.col("unnamed").alias("_unnamed"), "_drop")
+    docs = docs.withColumn("_hash", _unnamed())
+    docs = docs.join(drop, F.coalesce("doc_id", "_hash").eqNullSafe(F.coalesce("_doc_id", "_unnamed")) & docs["_hash"].eqNullSafe(drop["_unnamed"]), "left")
+    return docs.drop("_hash", "_doc_id", "_unnamed").mapInArrow(_clean(None, None, names), schema)
