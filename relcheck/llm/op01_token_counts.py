@@ -178,6 +178,11 @@ def write_flat(docs: DataFrame, path: str, separable: bool, separator: int, dtyp
 
 
 def document_token_counts(docs: DataFrame, path: str | None = None, separable: bool = True, separator: int = 49407) -> DataFrame:
-    """(doc_id, n_tokens) of every row of docs, counted in the flat streams written from them."""
+    """(doc_id, n_tokens) of every row of docs(doc_id long, text string), counted in the flat streams written from them.
+
+    A null or empty text has no tokens; a row without doc_id is counted, too, and
+    repeated rows are counted one by one. An empty table gives no rows. Texts may be of
+    any length; other columns, whatever their names, aren't looked at.
+    """
     blocks, order = write_flat(docs, path or tokenizer_path(), separable, separator)
     return order.join(token_counts(blocks, separator), ["stream", "ordinal"]).select("doc_id", "n_tokens")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import column, pick, pieces, stored
+from .shared import column, forget, pick, pieces, stored
 from .words import mix, seeds, shingle_sets
 
 #: Upper bounds of the partitions by set size, with their numbers of hash functions; larger items use LAST.
@@ -108,6 +108,7 @@ def indexes(items: DataFrame, shingle: int, threshold: int, block: int = BLOCK)
         part = sets.filter(F.pmod(F.xxhash64("set"), F.lit(blocks)) == b) if blocks > 1 else sets
         rows = sorted(((r["item_id"], bytes(r["set"])) for r in part.select("item_id", "set").collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
         yield Index([(i, np.frombuffer(s, dtype=np.uint64)) for i, s in rows], threshold)
+    forget(sets)
 
 
 def _pairs(index: Index, size: int):
@@ -137,7 +138,9 @@ def contained_items(docs: DataFrame, items: DataFrame, *, shingle: int = 5, thre
 
     docs(doc_id long, text string), items(item_id long, text string). A text with
     fewer words than a shingle is one shingle of all of them; one without words has
-    none, holds nothing and is held by nothing. Repeated rows give repeated results.
+    none, holds nothing and is held by nothing. Repeated rows give repeated results;
+    an empty table on either side gives none. Texts may be of any length, and other
+    columns, whatever their names, aren't looked at.
     """
     out = None
     for index in indexes(items, shingle, threshold, block):
@@ -147,7 +150,7 @@ def contained_items(docs: DataFrame, items: DataFrame, *, shingle: int = 5, thre
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, *, shingle: int = 5, threshold: int = 80, block: int = BLOCK) -> DataFrame:
-    """The rows of docs, with all columns, that hold no item by the same rule."""
+    """The rows of docs, with all columns, that hold no item by the same rule; null and empty texts hold none, and repeated rows go or stay together."""
     for index in indexes(items, shingle, threshold, block):
         docs = docs.mapInArrow(_without(index, shingle), docs.schema)
     return docs
