@@ -8,26 +8,43 @@ from pyspark.sql import functions as F
 from .shared import forget, stored
 
 
+#: A node with more rows than a part of MANY of all, and than LEAST_MANY, isn't joined in one task.
+MANY, LEAST_MANY = 4096, 512
+
+
 def _state(e: DataFrame) -> tuple:
     return tuple(e.agg(F.count("*"), F.sum(F.hash("u", "v").cast("decimal(38,0)"))).first())
 
 
+def _joined(rows: DataFrame, low: DataFrame, n: int) -> DataFrame:
+    """rows(u, v) with m of low(u, m, n), which has a row for each u and its number of rows.
+
+    Nodes of very many rows are looked up where the rows are: as each has more than
+    n / MANY of the 2 n rows at most, there are fewer than 2 * MANY of them, whatever n.
+    """
+    most = max(LEAST_MANY, n // MANY)
+    heavy = F.broadcast(low.filter(F.col("n") > most).select("u", "m"))
+    light = rows.join(heavy, "u", "left_anti").join(low.filter(F.col("n") <= most).select("u", "m"), "u")
+    return light.select("u", "v", "m").union(rows.join(heavy, "u").select("u", "v", "m"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of links(a, b); component is its smallest node.
 
     Each round costs two aggregations and joins on keys, and the number of rounds
     grows with the logarithm of the longest chain. No group is gathered in a task.
+    The result reads one stored table, which forget() deletes.
     """
     e = stored(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     state = _state(e)
+    least = (F.min("v").alias("m"), F.count("*").alias("n"))
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct()
-        after = stored(small, "links")
+        low = both.groupBy("u").agg(*least).select("u", F.least("u", "m").alias("m"), "n")
+        large = _joined(both.filter("v > u"), low, state[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(*least)
+        small = _joined(large, low, state[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        after = stored(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "links")
         now = _state(after)
         forget(e)
         e = after

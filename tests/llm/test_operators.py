@@ -232,6 +232,28 @@ def test_nearest_returns_whole_results(spark):
             assert len(found) == size and (size == 20 or set(found) == set(want))
 
 
+def test_nearest_of_repeated_ids_and_lengths(spark):
+    rng = np.random.default_rng(20)
+    x = rng.normal(size=(160, 8)).astype("float32")
+    x[:40] = x[0]
+    rows = [(i, [float(v) for v in x[i]]) for i in range(160)] + [(20, [float(v) for v in x[0]])] * 15
+    rows += [(40, [float(v) for v in 2 * x[0]]), (1000, [1.0, 2.0]), (1001, [1.0, 0.5]), (1002, [0.0, -1.0]), (1000, None)]
+    table = spark.createDataFrame([(*r, 1, "x") for r in rows], "vec_id long, embedding array<float>, entry int, ids string")
+    got: dict[int, list] = {}
+    for r in op03.nearest(table, share=1.0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    # Each (id, vector) is one row; those of one id are candidates for each other.
+    pairs = sorted({(i, tuple(v)) for i, v in rows if v is not None and len(v) == 8})
+    for q in (0, 20, 40, 60):
+        for vector in {v for i, v in pairs if i == q}:
+            score = {(i, v): float(np.dot(np.array(v, float), np.array(vector, float))) for i, v in pairs if (i, v) != (q, vector)}
+            want = sorted(((-round(s, 9), i) for (i, _), s in score.items()))[:20]
+            assert set(i for _, i in want) <= set(i for i, _ in got[q]), q
+    assert [len(got[q]) for q in (0, 20, 60)] == [20, 20, 20] and got[20][0][0] == 40 and len(got[40]) == 40
+    assert [i for i, _ in got[1000]] == [1001, 1002] and 1001 not in got
+    assert op03.nearest(table, "vec_id < 0").count() == 0
+
+
 def test_traverse():
     rng = np.random.default_rng(3)
     a, b, count = rng.random(7), rng.random(7), rng.integers(0, 4, 49)
@@ -306,6 +328,54 @@ def test_languages(spark, odd, empty):
     assert op07.predicted_languages(empty).count() == 0
 
 
+def test_mixtures_against_plain_em():
+    """The same by loops over words: rounds of EM, and languages admitted by penalised likelihood."""
+    import math
+
+    rng, names = random.Random(21), ["a", "b", "c", "d"]
+    word = lambda i: "".join(rng.choice("efgh" + "pqrs"[i]) for _ in range(rng.randint(2, 6)))
+    model = op07.Model({x: np.bincount(op07.trigrams([" ".join(word(i) for _ in range(400)).encode()])[0], minlength=op07.BUCKETS) for i, x in enumerate(names)})
+    texts = [" ".join(word(rng.choice(some)) for _ in range(rng.randint(1, 120))) for some in ([0], [1], [0, 2], [0, 0, 3], [1, 2, 3], [0, 1, 2, 3]) for _ in range(6)]
+
+    def em(likely, share, rounds):
+        for _ in range(rounds):
+            total = [0.0] * 4
+            for w in likely:
+                s = sum(p * x for p, x in zip(share, w, strict=True))
+                total = [t + p * x / s for t, p, x in zip(total, share, w, strict=True)]
+            share = [t / len(likely) for t in total]
+        return share, sum(math.log(sum(p * x for p, x in zip(share, w, strict=True))) for w in likely)
+
+    found, _ = model.mixtures([t.encode() for t in texts])
+    several = 0
+    for text, got in zip(texts, found, strict=True):
+        bucket, first, _ = op07.trigrams([text.encode()])
+        logs = [sum(model.logs[b] for b in bucket[i:j]) for i, j in zip(first, [*first[1:], len(bucket)], strict=True)]
+        log = [[max(float(x - w.max()), -60.0) for x in w] for w in logs]
+        likely, single = [[math.exp(x) for x in w] for w in log], [sum(w[i] for w in log) for i in range(4)]
+        best = max(range(4), key=lambda i: single[i])
+        share, value = [float(i == best) for i in range(4)], single[best]
+        full, top = em(likely, [0.25] * 4, op07.ROUNDS)
+        price = op07.PENALTY / 2 * math.log(len(likely) + 1)
+        order = sorted(range(4), key=lambda i: -full[i])
+        for size in range(2, 5):
+            if top - value <= price and size == 2:
+                break
+            tried, gained = em(likely, [1 / size if i in order[:size] else 0.0 for i in range(4)], op07.SET_ROUNDS)
+            if gained - value <= price:
+                break
+            share, value = tried, gained
+        several += max(share) < 1
+        assert np.abs(got - share).max() < 1e-3
+    assert several > 5
+
+
+def test_too_many_languages(spark):
+    rows = spark.range(600).selectExpr("id doc_id", "'a text' text", "concat('l', id) lang")
+    with pytest.raises(ValueError):
+        op07.learn(rows)
+
+
 def test_more_than_four_languages():
     rng, names = random.Random(13), [f"l{i}" for i in range(7)]
     # Each language has letters of its own.
@@ -352,28 +422,47 @@ def test_quoted_passages_as_a_whole(spark):
     assert len(links) == len(got) == 8
 
 
-def test_smallest_capacity():
-    rng = random.Random(11)
-
-    def feasible(sizes, shards, capacity):
-        n, full = 1, 0
+def runs_needed(sides, capacity):
+    n = 0
+    for sizes in sides:
+        full = capacity
         for s in sizes:
             n, full = (n + 1, s) if full + s > capacity else (n, full + s)
-        return n <= shards
+    return n
 
-    for _ in range(100):
-        sizes, shards = [rng.randint(0, 30) for _ in range(rng.randint(0, 40))], rng.randint(1, 6)
-        got = op09.smallest_capacity(sizes, shards)[0]
-        assert got == next(c for c in range(max([0, *sizes]), sum(sizes) + 1) if feasible(sizes, shards, c))
+
+def test_smallest_capacity():
+    rng = random.Random(11)
+    for _ in range(200):
+        sides, shards = [[rng.randint(1, 30) for _ in range(rng.randint(0, 15))] for _ in range(rng.randint(1, 4))], rng.randint(1, 7)
+        got = op09.smallest_capacity(sides, shards)
+        if sum(map(bool, sides)) > shards:
+            assert got is None
+            continue
+        largest = max([0, *(x for s in sides for x in s)])
+        assert got[0] == next(c for c in range(largest, sum(map(sum, sides)) + 1) if runs_needed(sides, c) <= shards)
+        cut = [s[i:j] for s, c in zip(sides, got[1], strict=True) if s for i, j in zip([0, *c], [*c, len(s)], strict=True)]
+        assert len(cut) <= shards and all(cut) and all(sum(c) <= got[0] for c in cut)
 
 
 def test_shards(spark, odd, empty):
     rng = random.Random(12)
     rows = [(i, "t" * rng.randint(0, 500) + str(i)) for i in range(900)] + [(2000 + i, "hot" * 400) for i in range(300)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    groups = docs.groupBy(F.xxhash64("text").alias("h")).agg(F.sum(F.octet_length("text") + 1).alias("bytes"))
-    exact = op09.smallest_capacity([r.bytes for r in groups.orderBy("h").collect()], 16)[0]
+    groups = docs.groupBy(F.xxhash64("text", F.col("text").isNull()).alias("h")).agg(F.sum(F.octet_length("text") + 1).alias("bytes"))
+    order = [(r.h, r.bytes) for r in groups.orderBy("h").collect()]
+    exact = op09.smallest_capacity([[b for _, b in order]], 16)[0]
     assert op09.cuts(groups, 16)[1] == exact
+    # The heavy group stays in its place, and both sides of it are cut as evenly as they can be.
+    heavy = max(order, key=lambda x: x[1])[0]
+    sides = [[b for h, b in order if h < heavy], [b for h, b in order if h > heavy]]
+    assert op09.cuts(groups, 16, (heavy,))[1] == op09.smallest_capacity(sides, 15)[0]
+    placed = op09.minimax_shards(docs).join(docs.select("doc_id", F.xxhash64("text", F.col("text").isNull()).alias("h")), "doc_id")
+    spans = placed.groupBy("shard").agg(F.min("h").alias("a"), F.max("h").alias("b"), F.sum("size").alias("n"), F.countDistinct("h").alias("k")).orderBy("a").collect()
+    assert [r.shard for r in spans] == list(range(16)) and all(x.b < y.a for x, y in zip(spans, spans[1:], strict=False))
+    assert [r.k for r in spans if r.a == heavy] == [1]
+    for side, runs in zip(sides, ([r.n for r in spans if r.b < heavy], [r.n for r in spans if r.a > heavy]), strict=True):
+        assert max(runs) == op09.smallest_capacity([side], len(runs))[0] and min(runs) > 0.8 * max(runs)
     for table in (docs, odd):
         got = op09.minimax_shards(table).collect()
         by: dict[int, list] = {}
@@ -399,6 +488,90 @@ def test_spread_lines(spark, odd, empty):
         assert op10.remove_spread_lines(empty, sent=sent).count() == 0
 
 
+def test_spread_lines_of_documents_without_id(spark):
+    rows = [(None, f"common line\nown {i % 3}", "en", f"s{i}") for i in range(20)] + [(1, "common line\nx", "en", "s0"), (2, None, "en", "s1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    for sent in (op10.SENT, 0):
+        got = sorted(repr((r.doc_id, r.text)) for r in op10.remove_spread_lines(docs, sent=sent).collect())
+        assert got == sorted(repr((d, t and t.replace("common line\n", "") if d is None else t)) for d, t, *_ in rows)
+
+
+def test_signature_distance():
+    width, errors = 56, op02.most_errors(0.85, 56, 1e-4)
+    rng = np.random.default_rng(22)
+    assert (rng.binomial(width, 0.15, 1_000_000) > errors).mean() < 2e-4 and 12 < errors < 24
+    shared = set(range(1000))
+    a, b = (np.sort(np.array([hash(("s", x)) for x in some], dtype=np.int64).view(np.uint64)) for some in (shared, shared - set(range(81)) | set(range(2000, 2081))))
+    assert (op02.signature(a, width) != op02.signature(b, width)).sum() <= errors
+
+
+def test_hot_key_is_led_before_the_shuffle(spark):
+    """Very many classes on one key: what is dealt out by the key are a few rows from each chunk."""
+    rng = np.random.default_rng(23)
+    sig = rng.integers(0, 1 << 16, 14).astype(np.uint16)
+    rows = [(i, bytes(np.concatenate((sig[:7], rng.integers(0, 1 << 16, 7).astype(np.uint16))).tobytes())) for i in range(500)]
+    keyed = spark.createDataFrame(rows, "rep long, sig binary").select("rep", "sig").repartition(2).mapInArrow(op02._keyed(14, 7), "deal long, key long, rep long, lead long, many boolean")
+    hot = keyed.groupBy("deal").count().agg(F.max("count")).first()[0]
+    assert hot <= 14
+    found = keyed.repartition("deal").sortWithinPartitions("key", "rep").mapInArrow(op02._runs, "kind byte, a long, b long, key long")
+    assert {r.component for r in components(found.filter("kind = 1").select("a", "b")).collect()} == {0}
+
+
+def brute_components(sets, linked):
+    low = {i: i for i in sets}
+    pairs = [(a, b) for a in sets for b in sets if a < b and linked(sets[a], sets[b])]
+    for _ in pairs:
+        before = dict(low)
+        for a, b in pairs:
+            low[a] = low[b] = min(low[a], low[b])
+        if before == low:
+            break
+    return low
+
+
+def test_pipeline_stages_against_brute_force(spark):
+    rng = random.Random(24)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(60):
+        words_ = list(base) if i % 3 else [f"u{rng.randint(0, 200)}" for _ in range(60)]
+        for _ in range(rng.randint(0, 4)):
+            words_[rng.randrange(60)] = f"x{rng.randint(0, 99)}"
+        rows.append((i, " ".join(words_) + ("\nfoot of all pages" if i % 2 else "") + f"\nlast {i}", "en", f"s{i % 15}", 1))
+    rows += [rows[7], rows[7], (9, "another text of document nine that is its own", "en", "s9", 1), (None, rows[3][1], "en", "s1", 1), (70, None, "en", "s1", None), (71, "", None, None, 0), (71, "", None, None, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+
+    got = sorted(repr(tuple(r)) for r in corpus_pipeline.line_dedup(spark, docs, "").collect())
+    sites, first = {}, {}
+    for d, t, _, s, _ in rows:
+        for line in {x.strip(" \t\r") for x in (t or "").split("\n")} - {""}:
+            sites.setdefault(line, set()).update({s} - {None})
+            if d is not None:
+                first[line] = min(first.get(line, d), d)
+    want = []
+    for d, t, lang, s, n in rows:
+        lines = (t or "").split("\n")
+        kept = [x for x in lines if not x.strip(" \t\r") or len(sites[x.strip(" \t\r")]) < 10 or (d is not None and first.get(x.strip(" \t\r")) == d)]
+        text = t if t is None or len(kept) == len(lines) else "\n".join(kept)
+        if len(kept) == len(lines) or text.strip():
+            want.append(repr((d, text, lang, s, None if text is None else len(text))))
+    assert got == sorted(want) and any("foot of all pages" not in w and "last 3" in w for w in want)
+
+    got = sorted(repr((r.doc_id, r.text)) for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
+    sets = {}
+    for d, t, *_ in rows:
+        if d is not None:
+            sets.setdefault(d, []).append(shingle_set(t, 5))
+    low = brute_components(sets, lambda a, b: any(x and y and 100 * len(x & y) >= 80 * len(x | y) for x in a for y in b))
+    want = {(d, t) for d, t, *_ in rows if d is not None and low[d] == d}
+    assert got == sorted([repr(x) for x in want] + [repr((None, rows[3][1]))]) and len(want) < 55
+
+    pieces = corpus_pipeline.packing(spark, docs, "").collect()
+    library = Encoder(tokenizer_path(), False)
+    lengths = Counter((d, len(library.ids([(t or "").encode()])[0]) // 4 + 1) for d, t, *_ in rows)
+    assert Counter((r.doc_id, r.length) for r in pieces) == lengths
+
+
 def test_pipeline(spark, odd, empty, tmp_path):
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
     items = [r.text for r in spark.read.parquet(f"{DIR}/benchmark.parquet").collect()]
