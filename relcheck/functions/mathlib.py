@@ -7,7 +7,7 @@ from decimal import Decimal
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .scalars import WIDE, div, failing, mul
+from .scalars import WIDE, div, failing, let, magnitude, mul
 
 
 def _both(a: Column, b: Column, out: Column) -> Column:
@@ -55,7 +55,7 @@ def product_of(xs: Column) -> Column:
 
 
 def abs_(x: Column) -> Column:
-    return F.abs(x.cast(WIDE))
+    return magnitude(x)
 
 
 def sign(x: Column) -> Column:
@@ -77,14 +77,14 @@ def _euclid(a: Column, b: Column, kind: str) -> Column:
 
 def gcd(a: Column, b: Column) -> Column:
     """Not negative; 0 for 0 and 0. Longs are worked on as longs."""
-    small = [F.abs(x.try_cast(WIDE)) < F.lit(Decimal(2**63)) for x in (a, b)]
+    small = [magnitude(x) < F.lit(Decimal(2**63)) for x in (a, b)]
     long = [F.abs(F.when(s, x).try_cast("bigint")) for s, x in zip(small, (a, b), strict=True)]
-    return F.when(small[0] & small[1], _euclid(*long, "bigint").cast(WIDE)).when(a.isNotNull() & b.isNotNull(), _euclid(F.abs(a.cast(WIDE)), F.abs(b.cast(WIDE)), WIDE))
+    return F.when(small[0] & small[1], _euclid(*long, "bigint").cast(WIDE)).when(a.isNotNull() & b.isNotNull(), _euclid(magnitude(a), magnitude(b), WIDE))
 
 
 def lcm(a: Column, b: Column) -> Column:
-    common = gcd(a, b)
-    return F.when(common == 0, F.lit(0).cast(WIDE)).otherwise(F.abs(mul(div(a, common), b)))
+    least = lambda g: F.when(g == 0, F.lit(0).cast(WIDE)).otherwise(mul(div(magnitude(a), g), magnitude(b)))
+    return let(gcd(a, b), least)
 
 
 def pow_(x: Column, exp: Column) -> Column:

@@ -10,6 +10,7 @@ import re
 from collections.abc import Callable
 from datetime import UTC, datetime, timedelta
 from decimal import Decimal
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -36,7 +37,13 @@ def pos(a: Column) -> Column:
 
 
 def neg(a: Column) -> Column:
-    return -_wide(a)
+    """By subtraction: the unary minus of decimals keeps 34 digits only."""
+    return F.try_subtract(F.lit(0).cast(WIDE), _wide(a)).try_cast(WIDE)
+
+
+def magnitude(a: Column) -> Column:
+    """Without the sign; abs of decimals keeps 34 digits only."""
+    return F.when(a < 0, neg(a)).otherwise(_wide(a))
 
 
 def add(a: Column, b: Column) -> Column:
@@ -51,14 +58,42 @@ def mul(a: Column, b: Column) -> Column:
     return F.try_multiply(_wide(a), _wide(b))
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _pair(a: Column, b: Column) -> Column:
+    return F.struct(_wide(a).alias("a"), _wide(b).alias("b"))
+
+
+def _short(*columns: Column) -> tuple[list[Column], Column]:
+    """The columns as longs, and whether all of them are longs."""
+    longs = [c.try_cast("bigint") for c in columns]
+    return longs, reduce(lambda x, y: x & y, [c.isNotNull() for c in longs])
+
+
+def _quotient(a: Column, b: Column) -> Column:
+    """a / b towards zero, of decimals; exact if it has no more than 32 digits, which decimal division keeps before its point."""
+    return F.try_divide(F.try_subtract(a, F.when(b != 0, a % b)), F.when(b != 0, b)).try_cast(WIDE)
+
+
 def div(a: Column, b: Column) -> Column:
-    """Towards zero; null for a zero divisor. Exact up to 32 digits."""
-    x, y = a.try_cast("bigint"), b.try_cast("bigint")  # longs are divided as longs
-    short = x.isNotNull() & y.isNotNull() & ~((x == -(2**63)) & (y == -1))
-    a, b = _wide(a), _wide(b)
-    whole = F.try_subtract(a, F.when(b != 0, a % b))
-    long = F.try_divide(whole, F.when(b != 0, b)).try_cast(WIDE)
-    return F.when(short, F.call_function("div", x, F.when(y != 0, y)).cast(WIDE)).when(b != 0, long)
+    """Towards zero; null for a zero divisor."""
+    (x, y), short = _short(a, b)
+    short &= ~((x == -(2**63)) & (y == -1))
+    half = F.lit(Decimal(10**19))
+
+    def halves(s: Column) -> Column:
+        rest = F.try_add(F.try_multiply(s["upper"] % s["b"], half).try_cast(WIDE), s["lower"]).try_cast(WIDE)
+        return F.try_add(F.try_multiply(_quotient(s["upper"], s["b"]), half).try_cast(WIDE), _quotient(rest, s["b"])).try_cast(WIDE)
+
+    def long(s: Column) -> Column:
+        # A quotient of more than 32 digits has a divisor of a few: the dividend's upper and lower half are divided one after the other.
+        parts = F.struct(_quotient(s["a"], half).alias("upper"), (s["a"] % half).alias("lower"), s["b"].alias("b"))
+        return F.when(s["b"].between(-(10**6), 10**6), let(parts, halves)).otherwise(_quotient(s["a"], s["b"]))
+
+    return F.when(short, F.call_function("div", x, F.when(y != 0, y)).cast(WIDE)).when(b != 0, let(_pair(a, b), long))
 
 
 def rem(a: Column, b: Column) -> Column:
@@ -66,16 +101,41 @@ def rem(a: Column, b: Column) -> Column:
     return F.when(b != 0, _wide(a) % F.when(b != 0, _wide(b)))
 
 
+def _limbs(x: Column) -> Column:
+    """The two's complement of a wide integer in longs: 62 bits, 62 bits, and what is above them."""
+    size = F.lit(Decimal(1 << 62))
+    low = lambda v: F.when(v % size < 0, v % size + size).otherwise(v % size).try_cast("bigint")
+    high = lambda v: (_quotient(v, size) - F.when(v % size < 0, 1).otherwise(0)).cast(WIDE)
+    two = let(x, lambda v: F.struct(low(v).alias("low"), high(v).alias("rest")))
+    return let(two, lambda s: F.struct(s["low"].alias("low"), low(s["rest"]).alias("middle"), high(s["rest"]).try_cast("bigint").alias("high")))
+
+
+def _bitwise(a: Column, b: Column, f: Callable[[Column, Column], Column]) -> Column:
+    """f of longs on two's complements of any length; null if the result doesn't fit 38 digits."""
+    (x, y), short = _short(a, b)
+    size, whole = F.lit(Decimal(1 << 62)), F.lit(Decimal(1 << 124))
+
+    def long(s: Column) -> Column:
+        low, middle, high = (f(s["a"][n], s["b"][n]).cast(WIDE) for n in ("low", "middle", "high"))
+        lower = (middle * size + low).cast(WIDE)
+        # Below zero the highest part alone may be out of range where the sum isn't.
+        up = F.when(high < 0, high + 1).otherwise(high).cast(WIDE)
+        return F.try_add(F.try_multiply(up, whole).try_cast(WIDE), F.when(high < 0, lower - whole).otherwise(lower).cast(WIDE)).try_cast(WIDE)
+
+    both = F.struct(_limbs(_wide(a)).alias("a"), _limbs(_wide(b)).alias("b"))
+    return F.when(short, f(x, y).cast(WIDE)).when(a.isNotNull() & b.isNotNull(), let(both, long))
+
+
 def band(a: Column, b: Column) -> Column:
-    return a.try_cast("bigint").bitwiseAND(b.try_cast("bigint"))
+    return _bitwise(a, b, Column.bitwiseAND)
 
 
 def bor(a: Column, b: Column) -> Column:
-    return a.try_cast("bigint").bitwiseOR(b.try_cast("bigint"))
+    return _bitwise(a, b, Column.bitwiseOR)
 
 
 def bxor(a: Column, b: Column) -> Column:
-    return a.try_cast("bigint").bitwiseXOR(b.try_cast("bigint"))
+    return _bitwise(a, b, Column.bitwiseXOR)
 
 
 def shl(a: Column, n: Column) -> Column:
@@ -87,9 +147,13 @@ def shl(a: Column, n: Column) -> Column:
 
 def shr(a: Column, n: Column) -> Column:
     """a divided by 2 to the n, rounded down; null for n < 0."""
-    a = a.try_cast("bigint")
-    small = F.call_function("shiftright", a, F.least(F.greatest(n, F.lit(0)), F.lit(63)).cast("int"))
-    return F.when(n >= 0, small)
+    [x], short = _short(a)
+    small = F.call_function("shiftright", x, F.least(F.greatest(n, F.lit(0)), F.lit(63)).cast("int"))
+    powers = F.array(*[F.lit(Decimal(1 << i)).cast(WIDE) for i in range(127)])
+    down = lambda s: F.try_subtract(div(s["a"], s["b"]), F.when(s["a"] % s["b"] < 0, 1).otherwise(0)).try_cast(WIDE)
+    long = let(_pair(a, F.get(powers, F.greatest(n, F.lit(0)).cast("int"))), down)
+    far = F.when(a < 0, -1).when(a >= 0, 0)
+    return F.when(n >= 0, F.when(short, small.cast(WIDE)).when(n < 127, long).otherwise(far.cast(WIDE)))
 
 
 # -- errors, records, unions ---------------------------------------------------

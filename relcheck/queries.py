@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from .functions import mathlib as fm
 from .functions import scalars as fs
 from .operators.coerce import coerced
 from .operators.master import Master, asserted, duplicates, failed_table_checks, row_problems, typed
+from .plans.diagram import explained
 from .plans.relation import Relation
 from .types import BOOL, BYTE, DATETIME, INT, INTEGERS, LONG, NINT, STRING, ULONG, alias, converted, enum, member, nullable, refined, same_type
 
@@ -394,6 +396,16 @@ def each_with_methods(spark, sf_dir):
     return row_problems(typed(_read(spark, sf_dir, "lineitem"), fields, LINE_KEY), master).filter("_failed[0].code = 'row_validation_failed'").select(*LINE_KEY)
 
 
+@_query(
+    "failed_condition_drawn",
+    """SELECT p_partkey, 'p_size >= 10 && p_size <= 40' || chr(10) || '^      ^     ^  ^      ^' || chr(10)
+    || rpad('' || p_size, 7, ' ') || rpad(CASE WHEN p_size >= 10 THEN 'true' ELSE 'false' END, 6, ' ') || '|  ' || rpad('' || p_size, 7, ' ') || CASE WHEN p_size <= 40 THEN 'true' ELSE 'false' END
+    || chr(10) || repeat(' ', 13) || 'false' AS diagram FROM part WHERE NOT (p_size >= 10 AND p_size <= 40)""",
+)
+def failed_condition_drawn(spark, sf_dir):
+    return explained(parts(spark, sf_dir), lambda c: (c.p_size >= 10) & (c.p_size <= 40)).select("p_partkey", "diagram")
+
+
 @_query("violations_null", "SELECT p_partkey FROM part WHERE (nullif(p_size, 3) > 2) IS NOT TRUE")
 def violations_null(spark, sf_dir):
     df = _read(spark, sf_dir, "part").withColumn("size", F.nullif(F.col("p_size"), F.lit(3)))
@@ -479,7 +491,28 @@ for _name, _f, _sql in (
     _scalar(_name, "orders", "o_orderkey", lambda f=_f, b=_b: _long(f(_c("o_custkey") - 700, b())), _sql)
 _scalar("int_neg", "orders", "o_orderkey", lambda: _long(fs.neg(_c("o_custkey"))), "-o_custkey")
 _scalar("shl", "orders", "o_orderkey", lambda: fs.shl(_c("o_custkey") - 700, _c("o_orderkey") % 70).cast("string"), f"CAST(CAST({_I} AS HUGEINT) * CAST(power(2::DOUBLE, o_orderkey % 70) AS HUGEINT) AS VARCHAR)")
-_scalar("shr", "orders", "o_orderkey", lambda: fs.shr(_c("o_custkey") - 700, _c("o_orderkey") % 70), f"CASE WHEN o_orderkey % 70 > 62 THEN CASE WHEN {_I} < 0 THEN -1 ELSE 0 END ELSE CAST(floor({_I} / power(2, o_orderkey % 70)) AS BIGINT) END")
+_scalar("shr", "orders", "o_orderkey", lambda: _long(fs.shr(_c("o_custkey") - 700, _c("o_orderkey") % 70)), f"CASE WHEN o_orderkey % 70 > 62 THEN CASE WHEN {_I} < 0 THEN -1 ELSE 0 END ELSE CAST(floor({_I} / power(2, o_orderkey % 70)) AS BIGINT) END")
+
+_WIDE_A, _WIDE_B = (f"(CAST(o_custkey - 700 AS HUGEINT) * 1000000000000000000000000000000 {x}" for x in ("- o_orderkey)", "+ o_custkey * 7919)"))
+_POWER = "(CAST(1 AS HUGEINT) << CAST(o_orderkey % 120 AS INT))"
+
+
+@_query(
+    "wide_integers",
+    f"""SELECT o_orderkey, CAST(CASE WHEN d <> 0 THEN a // d END AS VARCHAR) AS quotient, CAST(CASE WHEN d <> 0 THEN a % d END AS VARCHAR) AS rest, CAST(a & b AS VARCHAR) AS band, CAST(a | b AS VARCHAR) AS bor,
+    CAST(xor(a, b) AS VARCHAR) AS bxor, CAST(CASE WHEN a < 0 THEN -((p - 1 - a) // p) ELSE a // p END AS VARCHAR) AS shr, CAST(-a AS VARCHAR) AS neg, CAST(CASE WHEN a < 0 THEN -a ELSE a END AS VARCHAR) AS abs
+    FROM (SELECT o_orderkey, {_WIDE_A} AS a, {_WIDE_B} AS b, o_orderkey % 50 - 25 AS d, {_POWER} AS p FROM orders)""",
+)
+def wide_integers(spark, sf_dir):
+    """Integers of up to 38 digits, with quotients that are as long."""
+    big = F.lit(Decimal(10**30))
+    a = (_c("o_custkey") - 700).cast("decimal(7,0)") * big
+    a, b = fs.sub(a, _c("o_orderkey")), fs.add(a, _c("o_custkey") * 7919)
+    d, n = _c("o_orderkey") % 50 - 25, _c("o_orderkey") % 120
+    found = {"quotient": fs.div(a, d), "rest": fs.rem(a, d), "band": fs.band(a, b), "bor": fs.bor(a, b), "bxor": fs.bxor(a, b), "shr": fs.shr(a, n), "neg": fs.neg(a), "abs": fm.abs_(a)}
+    return _read(spark, sf_dir, "orders").select("o_orderkey", *[c.cast("string").alias(k) for k, c in found.items()])
+
+
 _scalar("bool_ops", "part", "p_partkey", lambda: ((_c("p_size") > 10) & ~(_c("p_size") > 30)) | (_c("p_size") == 1), "((p_size > 10) AND NOT (p_size > 30)) OR p_size = 1")
 _scalar("choose", "part", "p_partkey", lambda: fs.choose(_c("p_size") > 25, F.lit("large"), F.lit("small")), "CASE WHEN p_size > 25 THEN 'large' ELSE 'small' END")
 _scalar("switch", "part", "p_partkey", lambda: fs.switch(_c("p_size"), [(F.lit(1), F.lit("one")), (F.lit(2), F.lit("two"))]), "CASE p_size WHEN 1 THEN 'one' WHEN 2 THEN 'two' END")

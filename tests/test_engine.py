@@ -2,7 +2,9 @@
 
 import csv
 import io
+import math
 import random
+from decimal import Decimal
 
 import duckdb
 import pytest
@@ -18,6 +20,7 @@ from relcheck.functions import scalars as fs
 from relcheck.operators.coerce import coerced
 from relcheck.operators.master import Master, Project, dump, duplicates, failed_table_checks, load, report, typed
 from relcheck.plans import sqltext
+from relcheck.plans.diagram import explained, layout
 from relcheck.plans.relation import Relation
 from relcheck.sources import Source, check_options, confined
 from relcheck.sources.csv import fast_rows, read_csv, records
@@ -302,3 +305,49 @@ def test_stream(spark, tmp_path):
     spark.createDataFrame([(1, 5), (2, 5)], "id int, power int").write.mode("append").parquet(str(tmp_path / "in"))
     stream()
     assert codes(1) == ["duplicate_primary_key"]
+
+
+def test_wide_integers(spark):
+    r = random.Random(3)
+    most = 10**38 - 1
+
+    def number():
+        return r.choice([1, -1]) * r.choice([r.randrange(10), 10 ** r.randrange(39) - 1, r.randrange(2**62, 2**64), r.randrange(10 ** r.randrange(1, 39)), most, 2 ** r.randrange(126)])
+
+    rows = [(Decimal(number()), Decimal(number()), r.choice([0, 1, 62, 63, 64, 126, 127, 200, -1])) for _ in range(400)]
+    df = spark.createDataFrame(rows, "a decimal(38,0), b decimal(38,0), n int")
+    a, b, n = F.col("a"), F.col("b"), F.col("n")
+    fit = lambda v: v if v is not None and abs(v) <= most else None
+    quotient = lambda x, y: abs(x) // abs(y) * (1 if (x < 0) == (y < 0) else -1) if y else None
+    rules = {
+        "div": (fs.div(a, b), lambda x, y, k: fit(quotient(x, y))),
+        "rem": (fs.rem(a, b), lambda x, y, k: x - quotient(x, y) * y if y else None),
+        "and": (fs.band(a, b), lambda x, y, k: fit(x & y)),
+        "or": (fs.bor(a, b), lambda x, y, k: fit(x | y)),
+        "xor": (fs.bxor(a, b), lambda x, y, k: fit(x ^ y)),
+        "shr": (fs.shr(a, n), lambda x, y, k: x >> k if k >= 0 else None),
+        "neg": (fs.neg(a), lambda x, y, k: -x),
+        "abs": (fm.abs_(a), lambda x, y, k: abs(x)),
+        "gcd": (fm.gcd(a, b), lambda x, y, k: math.gcd(x, y)),
+        "lcm": (fm.lcm(a, b), lambda x, y, k: fit(math.lcm(x, y))),
+    }
+    for row in df.select("*", *[c.alias(name) for name, (c, _) in rules.items()]).collect():
+        for name, (_, rule) in rules.items():
+            got = None if row[name] is None else int(row[name])
+            assert got == rule(int(row.a), int(row.b), row.n), (name, row)
+
+
+def test_diagrams(spark):
+    fields = {"id": INT, "n": INT, "low": INT, "s": STRING, "maybe": nullable(INT)}
+    df = spark.createDataFrame([(1, 70000, 5, "é", None), (2, None, 5, "é", 3)], "id int, n int, low int, s string, maybe int")
+    told = lambda f: [x.diagram for x in explained(Relation(df, fields, ("id",)), f).collect()]
+    drawn = lambda *lines: "\n".join(lines)
+    # Two values share a row if they don't touch; a gap and what depends on it aren't drawn.
+    assert told(lambda c: c.n < c.low) == [drawn("n < low", "^ ^ ^", "| | 5", "| false", "70000"), drawn("n < low", "    ^", "    5")]
+    assert told(lambda c: (c.low == 4) | (c.s == "x"))[0] == drawn('low == 4 || s == "x"', "^   ^    ^  ^ ^", "5   |    |  | false", '    |    |  "é"', "    |    false", "    false")
+    assert told(lambda c: ~((c.low >= 1) & (c.low <= 9)))[0] == drawn("!(low >= 1 && low <= 9)", "^ ^   ^    ^  ^   ^", "| 5   true |  5   true", "false      true")
+    assert told(lambda c: (c.maybe != None) & (c.low > 1)) == [drawn("maybe != null && low > 1", "^     ^       ^  ^   ^", "null  false   |  5   true", "              false")]  # noqa: E711
+    assert told(lambda c: ((c.low > 9) | (c.low < 1)) & (c.low == 5))[0].splitlines()[0] == "(low > 9 || low < 1) && low == 5"
+    assert layout("x", [0], [None]) == "x"
+    with pytest.raises(Undecidable):
+        told(lambda c: c.s + 1)
