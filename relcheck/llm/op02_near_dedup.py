@@ -253,7 +253,7 @@ def linked(sets: list[np.ndarray], threshold: int) -> np.ndarray:
     value = np.concatenate(sets) if n else np.empty(0, dtype=U)
     order = np.argsort(value, kind="stable")
     value, owner = value[order], owner[order]
-    shared = np.zeros(n * n, dtype=np.int64)
+    shared = np.zeros(n * n, dtype=np.int32)
     if len(value):
         first = np.concatenate(([True], value[1:] != value[:-1]))
         label = np.cumsum(first) - 1
@@ -273,15 +273,18 @@ def linked(sets: list[np.ndarray], threshold: int) -> np.ndarray:
         for a, b in zip(ends[:-1], ends[1:], strict=True):
             m = np.zeros((n, 1024), dtype=np.float32)
             m[ow[a:b], la[a:b] % 1024] = 1
-            shared += np.triu(m @ m.T, 1).ravel().astype(np.int64)  # 1024 at most at a time: exact
-    both = shared.reshape(n, n)
-    both = both + both.T
-    link = 100 * both >= threshold * (size[:, None] + size[None, :] - both)
+            shared += np.triu(m @ m.T, 1).ravel().astype(np.int32)  # 1024 at most at a time: exact
+    shared = shared.reshape(n, n)
+    link = np.empty((n, n), dtype=bool)
+    some = [slice(i, i + 256) for i in range(0, n, 256)]  # rows at a time: the matrices of longs would be large
+    for at in some:
+        both = shared[at].astype(np.int64) + shared[:, at].T
+        link[at] = 100 * both >= threshold * (size[at, None] + size[None, :] - both)
     link[size == 0] = link[:, size == 0] = False
     np.fill_diagonal(link, True)
     label = np.arange(n)
     while True:
-        low = np.where(link, label[None, :], n).min(1)
+        low = np.concatenate([np.where(link[at], label[None, :], n).min(1) for at in some]) if n else label
         low = low[low]
         if (low == label).all():
             return label
