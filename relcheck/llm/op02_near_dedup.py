@@ -335,10 +335,8 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, threshold: int = 80, s
     # A doc_id that repeats with several texts stands for several classes.
     sizes = classes.groupBy("rep").agg(F.max("n").alias("n"), F.min("n").alias("least"), F.first("sig").alias("sig"))
 
-    stars = components(found.filter("kind = 1").select("a", "b"))
-    families = stored(stars, "families")
-    forget(stars)
-    large = families.groupBy("component").count().filter(F.col("count") > family).select("component")
+    families = components(found.filter("kind = 1").select("a", "b"))
+    large = stored(families.groupBy("component").count().filter(F.col("count") > family).select("component"), "large")
     members = families.join(large, "component", "left_anti").select(F.lit(0).alias("of"), F.col("component").alias("unit"), F.col("node").alias("rep"))
     over = found.filter("kind = 1").join(families.join(large, "component").select(F.col("node").alias("a")), "a", "left_semi")
     by_key = over.select("key", F.explode(F.array("a", "b")).alias("rep")).distinct()
@@ -365,7 +363,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, threshold: int = 80, s
 
     # Nothing below reads what is forgotten.
     low = stored(classes.select("print", "rep").join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left").select("print", F.coalesce("component", "rep").alias("low")), "class_components")
-    for used in (found, sets, pairs, members, families, classes, joined):
+    for used in (found, sets, pairs, members, families, large, classes, joined):
         forget(used)
     out = profile.select("doc_id", F.col("n").alias("n_shingles"), "print").join(low, "print", "left")
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("low", "doc_id")))

@@ -7,10 +7,12 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from relcheck.llm import components as stars
 from relcheck.llm import op01_token_counts as op01
 from relcheck.llm import op02_near_dedup as op02
 from relcheck.llm import op03_nearest_neighbours as op03
@@ -22,6 +24,7 @@ from relcheck.llm import op09_sharding as op09
 from relcheck.llm import op10_line_dedup as op10
 from relcheck.llm.components import components
 from relcheck.llm.queries import QUERIES, SQL
+from relcheck.llm.shared import stored
 from relcheck.llm.tokens import Encoder, tokenizer_path
 
 DIR = "/root/testdata/sf0.001"
@@ -71,6 +74,49 @@ def test_components(spark):
     assert got == {x: y for x, y in low.items() if any(a != b and x in (a, b) for a, b in links)}
 
 
+def least(links):
+    """The smallest node that each node is connected to."""
+    low = {x: x for e in links for x in e}
+
+    def root(x):
+        while low[x] != x:
+            low[x] = x = low[low[x]]
+        return x
+
+    for a, b in links:
+        a, b = root(a), root(b)
+        low[max(a, b)] = min(a, b)
+    return {x: root(x) for x in low}
+
+
+def test_components_in_small_plans(spark, monkeypatch):
+    """The driver keeps the plans of all rounds, so none may hold those of the steps before it; nodes of many links included."""
+    rng = random.Random(24)
+    links = [(i, i + 1) for i in range(2000, 2300)] + [(5000 + i, 3000) for i in range(700)] + [(1000 - i, 5000 + i) for i in range(600)] + [(rng.randint(1, 900), rng.randint(1, 900)) for _ in range(300)]
+    rng.shuffle(links)
+    for many, tasks in ((stars.LEAST_MANY, 2), (8, 9)):
+        plans = []
+        monkeypatch.setattr(stars, "LEAST_MANY", many)
+        monkeypatch.setattr(stars, "stored", lambda df, name, put=stored, seen=plans: seen.append(df._jdf.queryExecution().executedPlan().toString()) or put(df, name))
+        got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long").repartition(tasks)).collect()}
+        assert got == {x: y for x, y in least(links).items() if any(a != b and x in (a, b) for a, b in links)}
+        assert max(p.count("Exchange") for p in plans) <= 4 and max(p.count("Join") for p in plans) <= 2
+    assert any("BroadcastHashJoin" in p and "xxhash64" in p for p in plans)
+
+
+def test_forest(monkeypatch):
+    rng = random.Random(25)
+    monkeypatch.setattr(stars, "CHUNK", 50)
+    for n, most in ((0, 1), (1, 1), (40, 60), (400, 100), (400, 1 << 62)):
+        links = [(rng.randint(-most, most), rng.randint(-most, most)) for _ in range(n)] + [(i, i + 1) for i in range(0, n, 3)] + [(most, i) for i in range(n // 10)]
+        links = [(a, b) for a, b in links if a != b]
+        u, v = stars.forest(*(np.array([e[i] for e in links], dtype=np.int64) for i in (0, 1)))
+        assert dict(zip(u.tolist(), v.tolist(), strict=True)) == {x: y for x, y in least(links).items() if x != y} and len(set(u.tolist())) == len(u)
+        batches = [pa.RecordBatch.from_pylist([{"u": a, "v": b} for a, b in links[i : i + 7]]) for i in range(0, len(links), 7)]
+        out = [(r["u"], r["v"]) for batch in stars._forests(iter(batches)) for r in batch.to_pylist()]
+        assert least(out) == least(links)
+
+
 def near_rows(seed, groups=6, copies=30):
     rng = random.Random(seed)
     rows = []
