@@ -1,7 +1,7 @@
 """Connected components over a table of links, by alternating large and small stars.
 
-Each task makes the links it holds a forest of stars before they are written. Every
-step of a round reads stored tables and has one join at most: what the driver holds
+Each task of a round makes its links a forest of stars before it writes them. Every
+step reads stored tables and has one join at most: what the driver holds
 of the plans it has run stays small.
 """
 
@@ -60,6 +60,12 @@ def _stars(links: DataFrame) -> DataFrame:
     return links.mapInArrow(_forests, "u long, v long")
 
 
+def reduced(links: DataFrame) -> DataFrame:
+    """Fewer links(a, b) that connect what the given ones do; meant for stored links, whose tasks need no other Python worker."""
+    rows = pick(links, "a", "b").filter("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    return _stars(rows).select(F.col("u").alias("a"), F.col("v").alias("b"))
+
+
 def _led(e: DataFrame, low: DataFrame, most: int | None) -> DataFrame:
     """e(u, v) with m, the least neighbour of v, from low(u, m, n), which has a row for each node and its number of rows.
 
@@ -81,7 +87,8 @@ def components(links: DataFrame) -> DataFrame:
     rounds grows with the logarithm of the longest chain. No group is gathered in a
     task. The result reads one stored table, which forget() deletes.
     """
-    e = stored(_stars(pick(links, "a", "b").filter("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v"))), "links")
+    # What made the links may have a Python worker for each task: there is to be no second one.
+    e = stored(pick(links, "a", "b").filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), "links")
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = stored(both.groupBy("u").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("n")).select("u", F.least("u", "low").alias("m"), "high", "n"), "nodes")

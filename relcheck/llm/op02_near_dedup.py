@@ -36,7 +36,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import components, reduced
 from .shared import column, forget, pick, pieces, stored
 from .words import U, distinct, mix, seeds, shingle_sets
 
@@ -335,7 +335,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, threshold: int = 80, s
     # A doc_id that repeats with several texts stands for several classes.
     sizes = classes.groupBy("rep").agg(F.max("n").alias("n"), F.min("n").alias("least"), F.first("sig").alias("sig"))
 
-    families = components(found.filter("kind = 1").select("a", "b"))
+    families = components(reduced(found.filter("kind = 1")))
     large = stored(families.groupBy("component").count().filter(F.col("count") > family).select("component"), "large")
     members = families.join(large, "component", "left_anti").select(F.lit(0).alias("of"), F.col("component").alias("unit"), F.col("node").alias("rep"))
     over = found.filter("kind = 1").join(families.join(large, "component").select(F.col("node").alias("a")), "a", "left_semi")

@@ -98,8 +98,9 @@ def test_components_in_small_plans(spark, monkeypatch):
         plans = []
         monkeypatch.setattr(stars, "LEAST_MANY", many)
         monkeypatch.setattr(stars, "stored", lambda df, name, put=stored, seen=plans: seen.append(df._jdf.queryExecution().executedPlan().toString()) or put(df, name))
-        got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long").repartition(tasks)).collect()}
-        assert got == {x: y for x, y in least(links).items() if any(a != b and x in (a, b) for a, b in links)}
+        rows = spark.createDataFrame(links, "a long, b long").repartition(tasks)
+        got, fewer = ({r.node: r.component for r in components(x).collect()} for x in (rows, stars.reduced(rows)))
+        assert got == fewer == {x: y for x, y in least(links).items() if any(a != b and x in (a, b) for a, b in links)}
         assert max(p.count("Exchange") for p in plans) <= 4 and max(p.count("Join") for p in plans) <= 2
     assert any("BroadcastHashJoin" in p and "xxhash64" in p for p in plans)
 
@@ -154,6 +155,16 @@ def test_near_duplicates_odd(odd, empty):
     assert op02.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_take_one_worker_a_task(spark, monkeypatch):
+    """What a task reads goes through one Python worker: two would each keep what all operators load into them."""
+    plans = []
+    for module in (stars, op02):
+        monkeypatch.setattr(module, "stored", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or stored(df, name))
+    op02.near_duplicates(spark.createDataFrame(near_rows(5), "doc_id long, text string"), shingle=3, threshold=85)
+    blocks = [p for p in plans if "FlatMapGroupsInArrow" in p]
+    assert len(blocks) == 1 and blocks[0].count("MapInArrow") == 1  # that of the pairs, beside the blocks
+
+
 def test_signature_join_guarantee():
     rng = np.random.default_rng(2)
     a = rng.integers(0, 1 << 16, 56).astype(np.uint16)
